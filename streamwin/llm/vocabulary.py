@@ -1,0 +1,53 @@
+"""Values worked out once per distinct unit of text and joined back to documents.
+
+A corpus repeats its words, so what depends on a word alone (its pieces, their
+number) is worked out once for each distinct word. The distinct words are
+counted with partial sums in each task, given their value, and stored. The
+``frequent`` most common ones, a bounded number, are broadcast and looked up
+where the documents are read; rows for all others go through an equi-join.
+Frequent words are therefore never join keys: no key of the join is hot.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_rows
+
+#: Distinct units that a task holds before it passes its partial sums on.
+HELD_UNITS = 150_000
+
+#: Most common units that are broadcast.
+FREQUENT_UNITS = 200_000
+
+
+def unit_counts(docs: DataFrame, make_split: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
+    """unit and n: every distinct unit of the column ``text`` and how often it occurs."""
+
+    def make() -> Callable[..., Iterable[tuple]]:
+        split = make_split()
+        counts: Counter[str] = Counter()
+
+        def each(text):
+            counts.update(split(text))
+            if len(counts) >= HELD_UNITS:
+                yield from finish()
+
+        def finish():
+            yield from counts.items()
+            counts.clear()
+
+        each.finish = finish
+        return each
+
+    return map_rows(docs.select("text"), make, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def frequent(table: DataFrame, *values: str, most: int = FREQUENT_UNITS) -> dict:
+    """The ``most`` most common units of a table with unit and n, and their values."""
+    rows = table.orderBy(F.desc("n"), "unit").limit(most).select("unit", *values).toLocalIterator()
+    return {r[0]: r[1] if len(values) == 1 else tuple(r[1:]) for r in rows}
