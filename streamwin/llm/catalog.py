@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, simhash, token_counts, toxicity, transport
+from . import language, pieces, quality, simhash, token_counts, toxicity, transport
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_digests(_table(spark, sf_dir, "documents"), pieces.load(_tokenizer("piece_bpe_32k.model")))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predictions(docs, language.fit(docs))
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_toxicity,
         op5_quality,
         op6_simhash_near_duplicates,
+        op7_sentencepiece,
         op10_language,
     )
     return {f.__name__: f for f in every}
