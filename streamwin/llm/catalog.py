@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pieces, quality, simhash, token_counts, toxicity, transport
+from . import decontamination, language, oracles, pieces, quality, simhash, token_counts, toxicity, transport
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(_table(spark, sf_dir, "documents"), pieces.load(_tokenizer("piece_bpe_32k.model")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predictions(docs, language.fit(docs))
@@ -61,10 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_quality,
         op6_simhash_near_duplicates,
         op7_sentencepiece,
+        op8_decontamination,
         op10_language,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": oracles.DECONTAMINATION}
