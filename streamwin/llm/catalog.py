@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, oracles, pieces, quality, simhash, token_counts, toxicity, transport
+from . import common, decontamination, language, oracles, pieces, quality, secrets, shards, simhash, token_counts, toxicity, transport
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as they are read from the store after eight arrivals and compaction."""
+    docs = _table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, common.scratch(spark, "shards"))
+    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -53,6 +64,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(_table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predictions(docs, language.fit(docs))
@@ -63,14 +78,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_transport_stream,
         op2_token_counts,
         op3_toxicity,
+        op4_compaction,
         op5_quality,
         op6_simhash_near_duplicates,
         op7_sentencepiece,
         op8_decontamination,
+        op9_secrets,
         op10_language,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": oracles.DECONTAMINATION}
+    return {"op4_compaction": oracles.COMPACTION, "op8_decontamination": oracles.DECONTAMINATION}
