@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_of, map_rows, texts
 from .labelled import MOST_LABELLED, labelled_texts
@@ -185,7 +186,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 columns = part.columns if keep else [part.column(0)]
                 yield pa.RecordBatch.from_arrays([*columns, found], [*names, score_name])
 
-    schema = (rows.schema if keep else rows.select("doc_id").schema).add(score_name, "double")
+    schema = T.StructType([*(rows.schema if keep else rows.select("doc_id").schema), T.StructField(score_name, T.DoubleType())])
     out = rows.mapInArrow(run, schema)
     if keep:
         return out
