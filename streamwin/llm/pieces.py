@@ -41,6 +41,8 @@ from .vocabulary import FREQUENT_UNITS, unit_counts
 SPACE = "▁"
 #: Characters of the longest unit that is folded; its borders are the bits of a long.
 MOST_CHARS = 48
+#: Units whose lattices one task folds.
+UNITS_PER_TASK = 50_000
 #: Stands for an id where a character has no piece.
 NO_PIECE = 0xFFFF
 #: Most common units that are broadcast.
@@ -71,6 +73,12 @@ def _unit_pattern(fine: bool) -> re.Pattern:
     return re.compile(rf"{SPACE}+(?:{letter}+|{sign}+)?|{letter}+|\d?{sign}+|\d")
 
 
+# Up to U+017F the same units, from classes small enough to be tested quickly.
+_PLAIN = re.compile(r"[^\x00-ſ]")
+_WORD, _SIGN = "a-zA-ZªµºÀ-ÖØ-öø-ſ", f"[^a-zA-ZªµºÀ-ÖØ-öø-ſ0-9{SPACE}]"
+_PLAIN_UNITS = re.compile(rf"{SPACE}+(?:[{_WORD}]+|{_SIGN}+)?|[{_WORD}]+|[0-9]?{_SIGN}+|[0-9]")
+
+
 def load(path: str) -> Vocabulary:
     """The vocabulary of a .model file that changes nothing but spaces."""
     from sentencepiece import sentencepiece_model_pb2
@@ -105,8 +113,16 @@ def make_splitter(vocabulary: Vocabulary) -> Callable[[], Callable[[str], list[s
     fine, prefix = vocabulary.fine, SPACE if vocabulary.dummy_prefix else ""
 
     def make() -> Callable[[str], list[str]]:
-        units = _unit_pattern(fine).findall
-        return lambda text: units(prefix + text.replace(" ", SPACE)) if text else []
+        units, plain, odd = _unit_pattern(fine).findall, _PLAIN_UNITS.findall, _PLAIN.search
+
+        def split(text: str) -> list[str]:
+            if not text:
+                return []
+            if fine and not odd(text):
+                return plain(prefix + text.replace(" ", SPACE))
+            return units(prefix + text.replace(" ", SPACE))
+
+        return split
 
     return make
 
@@ -171,8 +187,11 @@ _VITERBI_PATH = """aggregate(
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``units`` (unit, n) with ids, the pieces of each unit."""
     spark = units.sparkSession
+    units = stored(units, "unit-counts")
     short, long = units.where(F.length("unit") <= MOST_CHARS), units.where(F.length("unit") > MOST_CHARS)
-    lattice = _lattice(short, piece_table(spark, vocabulary), vocabulary.longest)
+    # A unit's edges stay in the task that makes them: so many units a task that they fit its memory.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() // UNITS_PER_TASK)
+    lattice = _lattice(short.repartition(tasks, "unit"), piece_table(spark, vocabulary), vocabulary.longest)
     if vocabulary.kind == "bpe":
         lattice = lattice.withColumn("wide", F.expr("filter(edges, e -> e.end - e.start > 1)"))
         path = lattice.withColumn("mask", F.expr(_merge_fold())).withColumn("path", F.expr(_BPE_PATH))
