@@ -7,7 +7,8 @@ substrings of bounded length are exploded, joined to the piece table on their
 text, and the edges grouped by unit again. A fold with Spark's higher-order
 aggregate then picks the path:
 
-- unigram models: Viterbi, the path of the greatest summed score;
+- unigram models: Viterbi, the path of the greatest summed score, of equal ones
+  that whose last piece scores best;
 - byte-pair models, where a score is the rank of a merge and a sum of ranks
   means nothing: the merges themselves. Each step takes the best-ranked edge,
   leftmost first, that joins two neighbouring symbols. That is what the
@@ -212,12 +213,18 @@ def _encode_long(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def make() -> Callable[..., Iterable[tuple]]:
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
-        model.normalizer_spec.add_dummy_prefix = False
-        library = SentencePieceProcessor(model_proto=model.SerializeToString())
-        return lambda unit, n: [(unit, n, library.encode(unit))]
+        library: list[SentencePieceProcessor] = []  # loaded for the first unit: most tasks have none
+
+        def each(unit, n):
+            if not library:
+                model = sentencepiece_model_pb2.ModelProto()
+                with open(path, "rb") as f:
+                    model.ParseFromString(f.read())
+                model.normalizer_spec.add_dummy_prefix = False
+                library.append(SentencePieceProcessor(model_proto=model.SerializeToString()))
+            yield unit, n, library[0].encode(unit)
+
+        return each
 
     return map_rows(units.select("unit", "n"), make, "unit string, n long, ids array<int>")
 
