@@ -144,7 +144,7 @@ def _kneser_ney(sequences: np.ndarray, counts: np.ndarray, owner: np.ndarray, la
         rows, n = sequences[:, ORDER - order :], counts.astype(np.float64)
         if order < ORDER:  # how many different points come before: continuation counts
             longer = sequences[:, ORDER - order - 1 :]
-            pairs = np.unique(np.column_stack([owner, hashes(longer, order + 1)[:, 0]]), axis=0, return_index=True)[1]
+            pairs = np.unique(np.column_stack([owner.astype(np.uint64), hashes(longer, order + 1)[:, 0]]), axis=0, return_index=True)[1]
             rows, n, mine = rows[pairs], np.ones(len(pairs)), owner[pairs]
         else:
             mine = owner
@@ -185,8 +185,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     fold rule doesn't hold out; None without any."""
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     named = named.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
+    # About twice as many as needed, by hash: no task ranks all documents of a language.
+    sizes = named.groupBy("lang").agg(F.count("*").alias("size"))
+    near = named.select("doc_id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("size") < F.lit(2 * MOST_DOCS * (1 << 30)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_DOCS)
+    chosen = near.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_DOCS)
     chosen = chosen.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MOST_DOCS_IN_ALL)
     rows = named.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most MOST_DOCS_IN_ALL rows
     rows = rows.select("lang", "text", (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(CALIBRATE_EVERY)) == 0).alias("calibrates"))
