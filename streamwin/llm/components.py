@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remove, scratch
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -38,13 +38,20 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     a node with itself or with null count for nothing."""
     a, b = links.columns
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null and u > v").distinct()
-    links = stored(links, name)
+    spark = links.sparkSession
+
+    def written(df: DataFrame) -> tuple[str, DataFrame]:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return path, spark.read.schema(df.schema).parquet(path)
+
+    path, links = written(links)
     state = _state(links)
     while state[0]:
-        after = stored(_round(links), name)
-        now = _state(after)
-        links = after
-        if now == state:
+        last = path
+        path, links = written(_round(links))
+        remove(spark, last)
+        if (now := _state(links)) == state:
             break
         state = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
