@@ -136,8 +136,9 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, n and edges: [(rank, id, start, end, score)], by rank and start. Every
-    single character has an edge; its id is NO_PIECE if there is no such piece."""
+    """unit, n and edges, by rank and start. Every single character has an edge;
+    its id is NO_PIECE if there is no such piece. ends and inner are the bits of
+    an edge's two ends and of the borders between them."""
     size = F.length("unit")
     starts = units.withColumn("size", size).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     spans = starts.withColumn("chars", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))))
@@ -145,33 +146,31 @@ def _lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     # The piece table is that of one vocabulary file.
     edges = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or chars = 1")
     edge = F.struct(
-        F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), F.col("start"), (F.col("start") + F.col("chars")).alias("end"), F.coalesce("id", F.lit(NO_PIECE)).alias("id"), F.coalesce("score", F.lit(-1e12)).alias("score")
-    )
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
-
-
-# Bits start..end of the mask of borders, moved down: an edge joins two
-# neighbours if both ends and one border between are set, and is a symbol if only its ends are.
-_BITS = "(shiftright(m, {e}.start) & (shiftleft(1L, {e}.end - {e}.start + 1) - 1L))"
-_ENDS = "({b} & 1L) = 1L AND shiftright({b}, {e}.end - {e}.start) = 1L AND bit_count({b}) = {n}"
-
+        F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"),
+        F.col("start"),
+        (F.col("start") + F.col("chars")).alias("end"),
+        F.coalesce("id", F.lit(NO_PIECE)).alias("id"),
+        F.coalesce("score", F.lit(-1e12)).alias("score"),
+        F.expr("shiftleft(1L, start) | shiftleft(1L, start + chars)").alias("ends"),
+        F.expr("shiftleft(1L, start + chars) - shiftleft(1L, start + 1)").alias("inner"),
+    )
+    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
-def _merge_fold() -> str:
-    """SQL for the mask of borders after all merges of ``edges``."""
-    bits = _BITS.format(e="e")
-    joins = _ENDS.format(b=bits, e="e", n=3)
-    drop = "(m & ~(shiftleft(1L, e.end) - shiftleft(1L, e.start + 1)))"
-    return f"""aggregate(
-        sequence(1, greatest(length(unit) - 1, 1)),
-        named_struct('m', shiftleft(1L, length(unit) + 1) - 1L, 'done', false),
-        (acc, step) -> if(acc.done, acc, transform(array(acc.m), m ->
-            transform(array(get(filter(wide, e -> {joins}), 0)), e ->
-                named_struct('m', if(e is null, m, {drop}), 'done', e is null))[0])[0]),
-        acc -> acc.m)"""
 
+# The mask m has a bit for every border between symbols. An edge joins two
+# neighbours if both its ends are borders and just one lies between; it is a
+# symbol if none does.
+_MERGE_FOLD = """aggregate(
+    sequence(1, greatest(length(unit) - 1, 1)),
+    named_struct('m', shiftleft(1L, length(unit) + 1) - 1L, 'done', false),
+    (acc, step) -> if(acc.done, acc, transform(
+        array(get(filter(wide, e -> (acc.m & e.ends) = e.ends AND bit_count(acc.m & e.inner) = 1), 0).inner),
+        inner -> named_struct('m', acc.m & ~coalesce(inner, 0L), 'done', inner is null))[0]),
+    acc -> acc.m)"""
 
-_BPE_PATH = f"""transform(array(mask), m -> transform(
-    array_sort(transform(filter(edges, e -> {_ENDS.format(b=_BITS.format(e='e'), e='e', n=2)}), e -> named_struct('start', e.start, 'end', e.end, 'id', e.id))), e -> e))[0]"""
+_BPE_PATH = """sort_array(transform(
+    filter(edges, e -> (mask & e.ends) = e.ends AND (mask & e.inner) = 0),
+    e -> named_struct('start', e.start, 'end', e.end, 'id', e.id)))"""
 
 _VITERBI_PATH = """aggregate(
     sequence(1, length(unit)),
@@ -195,7 +194,7 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     lattice = _lattice(short.repartition(tasks, "unit"), piece_table(spark, vocabulary), vocabulary.longest)
     if vocabulary.kind == "bpe":
         lattice = lattice.withColumn("wide", F.expr("filter(edges, e -> e.end - e.start > 1)"))
-        path = lattice.withColumn("mask", F.expr(_merge_fold())).withColumn("path", F.expr(_BPE_PATH))
+        path = lattice.withColumn("mask", F.expr(_MERGE_FOLD)).withColumn("path", F.expr(_BPE_PATH))
     else:
         path = lattice.withColumn("path", F.expr(_VITERBI_PATH))
     if vocabulary.bytes_at >= 0:
