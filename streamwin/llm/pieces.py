@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, texts
-from .vocabulary import FREQUENT_UNITS, unit_counts
+from .vocabulary import FREQUENT_UNITS, common_units, unit_counts
 
 #: The sign that stands for a space in pieces.
 SPACE = "▁"
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FR
     rows = texts(docs, id_col, text_col, key=True)
     split = make_splitter(vocabulary)
     table = stored(encode_units(unit_counts(rows, split), vocabulary), "units")
-    common = table.orderBy(F.desc("n"), "unit").limit(most_frequent).select("unit", "ids")
+    common = common_units(table, most_frequent).select("unit", "ids")
     numbers: dict[str, int] = {}
 
     def lists() -> Iterator[list[int]]:

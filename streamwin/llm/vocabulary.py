@@ -47,7 +47,22 @@ def unit_counts(docs: DataFrame, make_split: Callable[[], Callable[[str], list[s
     return map_rows(docs.select("text"), make, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def frequent(table: DataFrame, *values: str, most: int = FREQUENT_UNITS) -> dict:
-    """The ``most`` most common units of a table with unit and n, and their values."""
-    rows = table.orderBy(F.desc("n"), "unit").limit(most).select("unit", *values).toLocalIterator()
-    return {r[0]: r[1] if len(values) == 1 else tuple(r[1:]) for r in rows}
+def common_units(table: DataFrame, most: int = FREQUENT_UNITS) -> DataFrame:
+    """Rows of the most common units of a table with unit and n, at most ``most``.
+
+    A histogram of their frequencies, a few hundred numbers, gives the lowest
+    frequency that few enough units reach; no task ranks units.
+    """
+    step = F.floor(8 * F.log2("n")).cast("int")
+    least, total = None, 0
+    for bucket, units in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += units
+        if total > most:
+            break
+        least = bucket
+    return table.limit(0) if least is None else table.where(step >= least)
+
+
+def frequent(table: DataFrame, value: str, most: int = FREQUENT_UNITS) -> dict:
+    """The most common units and their value."""
+    return {r[0]: r[1] for r in common_units(table, most).select("unit", value).toLocalIterator()}
