@@ -31,23 +31,22 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, texts
-from .vocabulary import FREQUENT_UNITS, common_units, unit_counts
+from .vocabulary import common_units, unit_counts
 
 #: The sign that stands for a space in pieces.
 SPACE = "▁"
 #: Characters of the longest unit that is folded; its borders are the bits of a long.
 MOST_CHARS = 48
-#: Units whose lattices one task folds.
-UNITS_PER_TASK = 50_000
 #: Stands for an id where a character has no piece.
 NO_PIECE = 0xFFFF
 #: Most common units that are broadcast.
-MOST_FREQUENT = FREQUENT_UNITS
+MOST_FREQUENT = 300_000
 
 
 @dataclass
@@ -138,10 +137,11 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 def _lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """unit, n and edges, by rank and start. Every single character has an edge;
     its id is NO_PIECE if there is no such piece. ends and inner are the bits of
-    an edge's two ends and of the borders between them."""
+    an edge's two ends and of the borders between them. Units of more than
+    ``MOST_CHARS`` characters have a single edge."""
     size = F.length("unit")
-    starts = units.withColumn("size", size).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    spans = starts.withColumn("chars", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))))
+    starts = units.withColumn("size", size).withColumn("start", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > MOST_CHARS, 0).otherwise(F.col("size") - 1))))
+    spans = starts.withColumn("chars", F.explode(F.sequence(F.lit(1), F.when(F.col("size") > MOST_CHARS, 1).otherwise(F.least(F.lit(longest), F.col("size") - F.col("start"))))))
     spans = spans.withColumn("piece", F.expr("substring(unit, start + 1, chars)"))
     # The piece table is that of one vocabulary file.
     edges = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or chars = 1")
@@ -185,139 +185,150 @@ _VITERBI_PATH = """aggregate(
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``units`` (unit, n) with ids, the pieces of each unit."""
-    spark = units.sparkSession
-    units = stored(units, "unit-counts")
-    short, long = units.where(F.length("unit") <= MOST_CHARS), units.where(F.length("unit") > MOST_CHARS)
-    # A unit's edges stay in the task that makes them: so many units a task that they fit its memory.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() // UNITS_PER_TASK)
-    lattice = _lattice(short.repartition(tasks, "unit"), piece_table(spark, vocabulary), vocabulary.longest)
+    """``units`` (unit, n) with ids, the pieces of each unit.
+
+    If ``units`` are dealt by unit, so is all that follows: nothing is shuffled.
+    """
+    lattice = _lattice(units, piece_table(units.sparkSession, vocabulary), vocabulary.longest)
+    folded = F.length("unit") <= MOST_CHARS
+    edges = F.when(folded, F.col("edges")).otherwise(F.slice("edges", 1, 0))
+    lattice = lattice.withColumn("edges", edges)
     if vocabulary.kind == "bpe":
         lattice = lattice.withColumn("wide", F.expr("filter(edges, e -> e.end - e.start > 1)"))
-        path = lattice.withColumn("mask", F.expr(_MERGE_FOLD)).withColumn("path", F.expr(_BPE_PATH))
+        path = lattice.withColumn("mask", F.when(folded, F.expr(_MERGE_FOLD))).withColumn("path", F.expr(_BPE_PATH))
     else:
-        path = lattice.withColumn("path", F.expr(_VITERBI_PATH))
+        path = lattice.withColumn("path", F.when(folded, F.expr(_VITERBI_PATH)))
     if vocabulary.bytes_at >= 0:
         code = "hex(encode(substring(unit, e.start + 1, 1), 'UTF-8'))"
         spelled = f"transform(array({code}), h -> transform(sequence(1, length(h), 2), i -> cast(conv(substring(h, i, 2), 16, 10) as int) + {vocabulary.bytes_at}))[0]"
     else:
         spelled = f"array({vocabulary.unknown})"
-    folded = path.select("unit", "n", F.expr(f"flatten(transform(path, e -> if(e.id = {NO_PIECE}, {spelled}, array(e.id))))").alias("ids"))
-    return folded.unionByName(_encode_long(long, vocabulary))
+    ids = F.expr(f"flatten(transform(path, e -> if(e.id = {NO_PIECE}, {spelled}, array(e.id))))")
+    return path.select("unit", "n", F.coalesce(_library(vocabulary)(F.when(~folded, F.col("unit"))), ids).alias("ids"))
 
 
-def _encode_long(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def _library(vocabulary: Vocabulary) -> Callable:
+    """The library's own encoder of a unit, for units that aren't folded; null for null."""
     path = vocabulary.path
 
-    def make() -> Callable[..., Iterable[tuple]]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        library: list[SentencePieceProcessor] = []  # loaded for the first unit: most tasks have none
-
-        def each(unit, n):
-            if not library:
-                model = sentencepiece_model_pb2.ModelProto()
-                with open(path, "rb") as f:
-                    model.ParseFromString(f.read())
-                model.normalizer_spec.add_dummy_prefix = False
-                library.append(SentencePieceProcessor(model_proto=model.SerializeToString()))
-            yield unit, n, library[0].encode(unit)
+        library = None  # loaded for the first unit: most tasks have none
+        for units in parts:
+            out = []
+            for unit in units:
+                if unit is None:
+                    out.append(None)
+                    continue
+                if library is None:
+                    model = sentencepiece_model_pb2.ModelProto()
+                    with open(path, "rb") as f:
+                        model.ParseFromString(f.read())
+                    model.normalizer_spec.add_dummy_prefix = False
+                    library = SentencePieceProcessor(model_proto=model.SerializeToString())
+                out.append(library.encode(unit))
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<int>")
 
-        return each
 
-    return map_rows(units.select("unit", "n"), make, "unit string, n long, ids array<int>")
+class _Ragged:
+    """Lists of small numbers, one after another."""
 
+    def __init__(self, lists: Iterable, dtype: type):
+        parts = [np.asarray(x, dtype) for x in lists]
+        self.values = np.concatenate(parts) if parts else np.zeros(0, dtype)
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
 
-class _Ragged:
-    """Lists of ints, one after another."""
-
-    def __init__(self, lists: Iterable[list[int]]):
-        values: list[np.ndarray] = []
-        sizes: list[int] = []
-        for x in lists:
-            values.append(np.array(x, np.uint16))
-            sizes.append(len(x))
-        self.values = np.concatenate(values) if values else np.zeros(0, np.uint16)
-        self.starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-
-    def take(self, which: np.ndarray, more: "_Ragged") -> np.ndarray:
+    def take(self, which: np.ndarray, more: _Ragged | None = None) -> np.ndarray:
         """The lists ``which``, joined; numbers from the end of this one on are those of ``more``."""
         n = len(self.starts) - 1
-        own = which < n
-        at = np.where(own, which, which - n)
-        starts = np.where(own, self.starts[np.minimum(at, n)], len(self.values) + more.starts[np.minimum(at, len(more.starts) - 1)])
-        ends = np.where(own, self.starts[np.minimum(at + 1, n)], len(self.values) + more.starts[np.minimum(at + 1, len(more.starts) - 1)])
-        sizes = ends - starts
-        index = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        inside = index < len(self.values)
-        out = np.empty(len(index), np.int32)
-        out[inside] = self.values[index[inside]]
-        out[~inside] = more.values[index[~inside] - len(self.values)]
-        return out
+        starts, ends, values = self.starts[:-1], self.starts[1:], self.values
+        if more is not None and len(more.starts) > 1:
+            late = which >= n
+            low = np.where(late, 0, which)
+            high = np.where(late, which - n, 0)
+            begin = np.where(late, more.starts[:-1][high], starts[low] if n else 0)
+            sizes = np.where(late, more.starts[1:][high], ends[low] if n else 0) - begin
+            index = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            from_more = np.repeat(late, sizes)
+            out = np.empty(len(index), values.dtype)
+            out[from_more] = more.values[index[from_more]]
+            out[~from_more] = values[index[~from_more]]
+            return out
+        begin = starts[which]
+        sizes = ends[which] - begin
+        return values[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_units and ids of each row of ``docs``."""
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col, key=True)
+    # A row is known by its id and two hashes of its text, which are the same
+    # whenever it is read. Rows that share them have equal texts and so equal ids.
+    key = [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")]
+    rows = texts(docs, id_col, text_col).select("doc_id", "text", *key)
     split = make_splitter(vocabulary)
-    table = stored(encode_units(unit_counts(rows, split), vocabulary), "units")
-    common = common_units(table, most_frequent).select("unit", "ids")
-    numbers: dict[str, int] = {}
-
-    def lists() -> Iterator[list[int]]:
-        for unit, ids in common.toLocalIterator():
-            numbers[unit] = len(numbers)
-            yield ids
-
-    shared_ids = spark.sparkContext.broadcast(_Ragged(lists()))
-    shared_numbers = spark.sparkContext.broadcast(numbers)
-
-    def make() -> Callable[..., Iterable[tuple]]:
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = stored(encode_units(unit_counts(rows, split, tasks), vocabulary), "units")
+    common = sorted(common_units(table, most_frequent).select("unit", "ids", "n").toLocalIterator(), key=lambda r: (-r[2], r[0]))
+    # Small numbers for common units: documents travel as numbers.
+    shared_numbers = spark.sparkContext.broadcast({r[0]: i for i, r in enumerate(common)})
+    shared_ids = spark.sparkContext.broadcast(_Ragged((r[1] for r in common), np.uint16))
+    first = len(common)
+    del common
+
+    def numbered(text: str, units: Callable[[str], list[str]], known: Callable) -> tuple[list[int], dict[str, int]]:
+        own: dict[str, int] = {}
+        new = own.setdefault
+        return [k if (k := known(u)) is not None else new(u, first + len(own)) for u in units(text)], own
+
+    def make_rare() -> Callable[..., Iterable[tuple]]:
+        units, known = split(), shared_numbers.value.get
+        return lambda doc_id, text, h1, h2: [(doc_id, h1, h2, k, u) for u, k in numbered(text, units, known)[1].items()]
+
+    def make_packed() -> Callable[..., Iterable[tuple]]:
         import zstandard
 
-        units, known = split(), shared_numbers.value
-        first, pack = len(known), zstandard.ZstdCompressor(level=1).compress
+        units, known, pack = split(), shared_numbers.value.get, zstandard.ZstdCompressor(level=3).compress
 
-        def each(row_key, doc_id, text):
-            found = units(text)
-            own: dict[str, int] = {}
-            get, new = known.get, own.setdefault
-            at = [k if (k := get(u)) is not None else new(u, first + len(own)) for u in found]
-            for u, k in own.items():
-                yield row_key, k, u, None, None, None, None
+        def each(doc_id, text, h1, h2):
+            at = numbered(text, units, known)[0]
             # The planes of the numbers' bytes: the high ones are nearly constant.
-            packed = pack(np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-            # No unit has a digit after another sign: this row joins to nothing.
-            yield row_key, -1, f"\0{row_key}", doc_id, len(text.encode()), len(found), packed
+            yield doc_id, h1, h2, -1, len(text.encode()), len(at), pack(np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
         return each
 
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = map_rows(rows.select("row_key", "doc_id", "text"), make, f"row_key long, place int, unit string, doc_id {kind}, n_bytes long, n_units long, packed binary")
-    joined = parts.join(table.select("unit", "ids"), "unit", "left").drop("unit")
-    ordered = joined.repartition("row_key").sortWithinPartitions("row_key", "place").select("row_key", "doc_id", "n_bytes", "n_units", "packed", "ids")
+    head = f"doc_id {kind}, h1 long, h2 int, place int"
+    rare = map_rows(rows, make_rare, f"{head}, unit string").join(table.select("unit", "ids"), "unit").drop("unit")
+    packed = map_rows(rows, make_packed, f"{head}, n_bytes long, n_units long, packed binary")
+    both = packed.unionByName(rare, allowMissingColumns=True)
+    ordered = both.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "place").select("doc_id", "h1", "h2", "place", "n_bytes", "n_units", "packed", "ids")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack, common_ids = zstandard.ZstdDecompressor().decompress, shared_ids.value
-        head: tuple | None = None
-        tail: list[list[int]] = []
+        key: tuple | None = None
+        heads: list[tuple] = []
+        tail: dict[int, list[int]] = {}
         done: list[tuple] = []
         size = 0
 
         def close() -> None:
             nonlocal size
-            if head is not None:
-                doc_id, n_bytes, n_units, packed = head
-                which = np.frombuffer(unpack(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-                done.append((doc_id, n_bytes, n_units, common_ids.take(which, _Ragged(tail))))
-                size += len(done[-1][3])
+            if heads:
+                which = np.frombuffer(unpack(heads[0][2]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+                ids = common_ids.take(which, _Ragged((tail[k] for k in sorted(tail)), np.uint16))
+                for n_bytes, n_units, _ in heads:
+                    done.append((key[0], n_bytes, n_units, ids))
+                    size += len(ids)
 
         def batch() -> pa.RecordBatch:
             nonlocal size
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in done)]), pa.int32()), pa.array(np.concatenate([r[3] for r in done])))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in done)]), pa.int32()), pa.array(np.concatenate([r[3] for r in done]).astype(np.int32)))
             out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], doc_type), pa.array([r[1] for r in done], pa.int64()), pa.array([r[2] for r in done], pa.int64()), ids], ["doc_id", "n_bytes", "n_units", "ids"])
             done.clear()
             size = 0
@@ -326,13 +337,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FR
         doc_type = pa.int64()
         for b in batches:
             doc_type = b.column("doc_id").type
-            for row_key, doc_id, n_bytes, n_units, packed, ids in zip(*(c.to_pylist() for c in b.columns)):
-                if packed is not None:  # the first row of its document
+            for doc_id, h1, h2, place, n_bytes, n_units, numbers, ids in zip(*(c.to_pylist() for c in b.columns)):
+                if (doc_id, h1, h2) != key:
                     close()
-                    head, tail = (doc_id, n_bytes, n_units, packed), []
+                    key, heads, tail = (doc_id, h1, h2), [], {}
+                if numbers is not None:
+                    heads.append((n_bytes, n_units, numbers))
                 else:
-                    tail.append(ids)
-                if size >= 1 << 20 and done:
+                    tail[place] = ids
+                if size >= 1 << 20:
                     yield batch()
         close()
         if done:
@@ -341,20 +354,22 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FR
     return ordered.mapInArrow(assemble, f"doc_id {kind}, n_bytes long, n_units long, ids array<int>")
 
 
-def make_decoder(vocabulary: Vocabulary) -> Callable[[], Callable[[list[int]], str]]:
-    """A maker of the function from ids to text. Ids of bytes that aren't UTF-8 decode to U+FFFD."""
+def make_decoder(vocabulary: Vocabulary) -> Callable[[], Callable[[np.ndarray], bytes]]:
+    """A maker of the function from ids to UTF-8. What bytes' pieces make of no character decodes to U+FFFD."""
     pieces, first, prefix = vocabulary.pieces, vocabulary.bytes_at, vocabulary.dummy_prefix
     normal, unknown = vocabulary.normal, vocabulary.unknown
 
-    def make() -> Callable[[list[int]], str]:
+    def make() -> Callable[[np.ndarray], bytes]:
         raw = [p.replace(SPACE, " ").encode() if n else b"" for p, n in zip(pieces, normal)]
         raw[unknown] = " ⁇ ".encode()
         if first >= 0:
             raw[first : first + 256] = [bytes([i]) for i in range(256)]
+        table = _Ragged((np.frombuffer(r, np.uint8) for r in raw), np.uint8)
 
-        def decode(ids: list[int]) -> str:
-            text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
-            return text[1:] if prefix and text.startswith(" ") else text
+        def decode(ids: np.ndarray) -> bytes:
+            text = table.take(ids.astype(np.int64)).tobytes() if len(ids) else b""
+            text = text[1:] if prefix and text.startswith(b" ") else text
+            return text.decode("utf-8", "replace").encode()
 
         return decode
 
@@ -367,7 +382,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
 
     def make() -> Callable[..., Iterable[tuple]]:
         text = maker()
-        return lambda doc_id, ids: [(doc_id, text(ids or []))]
+        return lambda doc_id, ids: [(doc_id, text(np.array(ids or [], np.int64)).decode())]
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return map_rows(encoded.select(id_col, ids_col), make, f"doc_id {kind}, text string")
@@ -385,10 +400,11 @@ def encoded_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         text = maker()
         for b in batches:
             ids = b.column("ids")
-            decoded = [text(x.as_py() or []).encode() for x in ids]
+            values, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
+            decoded = [text(values[lo:hi]) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             sizes = [len(x) for x in decoded]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_bytes"), b.column("n_units"), pa.array([len(x) for x in ids], pa.int64()), ids, pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for x in decoded], pa.int64())],
+                [b.column("doc_id"), b.column("n_bytes"), b.column("n_units"), pa.array(np.diff(cuts), pa.int64()), ids, pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for x in decoded], pa.int64())],
                 ["doc_id", "n_bytes", "n_units", "n_tokens", "ids", "text_bytes", "text_crc32"],
             )
 

@@ -25,8 +25,9 @@ HELD_UNITS = 150_000
 FREQUENT_UNITS = 200_000
 
 
-def unit_counts(docs: DataFrame, make_split: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
-    """unit and n: every distinct unit of the column ``text`` and how often it occurs."""
+def unit_counts(docs: DataFrame, make_split: Callable[[], Callable[[str], list[str]]], tasks: int | None = None) -> DataFrame:
+    """unit and n: every distinct unit of the column ``text`` and how often it
+    occurs; with ``tasks``, dealt by unit to so many."""
 
     def make() -> Callable[..., Iterable[tuple]]:
         split = make_split()
@@ -44,7 +45,10 @@ def unit_counts(docs: DataFrame, make_split: Callable[[], Callable[[str], list[s
         each.finish = finish
         return each
 
-    return map_rows(docs.select("text"), make, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    parts = map_rows(docs.select("text"), make, "unit string, n long")
+    if tasks:
+        parts = parts.repartition(tasks, "unit")
+    return parts.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def common_units(table: DataFrame, most: int = FREQUENT_UNITS) -> DataFrame:
