@@ -1,7 +1,7 @@
 """Every stage on what the one before has kept."""
 
 import corpus_pipeline
-from streamwin.llm import simhash
+from streamwin.llm import decontamination, simhash
 
 
 def test_stages(spark, sf_dir):
@@ -23,3 +23,13 @@ def test_stages(spark, sf_dir):
 
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in last.collect())
+
+
+def test_one_planted_item_is_enough(spark, sf_dir):
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 12)
+    texts = [(1, f"some words before it {item} and some after"), (2, item), (3, "nothing of the kind " * 5), (4, None), (5, " ".join(item.split()[:5]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = corpus_pipeline.decontamination_stage(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+    flagged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    assert flagged.where("contaminated").isEmpty() and flagged.where("n_items = 1").count() == 2
