@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from streamwin.llm import decontamination, pieces, quality, secrets, simhash
 from streamwin.llm.common import stored
 
+#: Jaccard similarity of five-word shingles from which texts are near copies.
+SIMILARITY = 0.8
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score less than a half for quality go."""
@@ -21,8 +24,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays: the one of the smallest id.
+
+    Near copies are op6's and texts whose five-word shingles have a Jaccard
+    similarity of ``SIMILARITY``; groups are what such links connect.
+    """
+    return simhash.one_of_each(docs, similarity=SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

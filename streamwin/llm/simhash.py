@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import map_rows, stored, texts
 from .components import components
 
@@ -296,25 +297,29 @@ def links(nodes: DataFrame, tau: int = TAU) -> DataFrame:
     return _block_links(_dealt(_keys(nodes, plan(nodes, n, tau))), tau)
 
 
-def near_duplicates(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """doc_id, fp, text_hash, root (the component's smallest fingerprint) and
-    component_id (the smallest id reachable) of each row."""
+    component_id (the smallest id reachable) of each row. With ``similarity``,
+    texts whose five-word shingles are so similar (Jaccard) are linked as well."""
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, tau), "links")
+    found = links(nodes, tau)
+    if similarity is not None:
+        found = found.unionByName(similar.links(docs, similarity, id_col, text_col))
+    roots = components(found, "links")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(named, "root").select("fp", "root", "component_id")
     return rows.join(names, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each component.
 
     The row of the smallest id stays; of rows with one id that with the smallest
     hash of its text, and one of rows with equal id and text.
     """
-    found = near_duplicates(docs, tau, id_col, text_col)
+    found = near_duplicates(docs, tau, id_col, text_col, similarity)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     kept = stored(found.groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash"), "kept")
     text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))

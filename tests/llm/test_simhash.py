@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from streamwin.llm import simhash
+from streamwin.llm import similar, simhash
 from streamwin.llm.components import components
 
 
@@ -85,3 +85,50 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def brute_similar(texts, tau=4, similarity=0.8):
+    """Component of each text: linked within tau bits or by five-word shingles."""
+    import re
+
+    def shingles(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, fps = [shingles(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= tau or shared and 5 * shared >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_edited_copies_are_linked(spark, odd_docs, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        words = [vocabulary[i] for i in rng.integers(0, 3000, rng.integers(80, 200))]
+        for _ in range(14):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), rng.integers(0, 9)):
+                copy[at] = vocabulary[rng.integers(0, 3000)]
+            texts.append(" ".join(copy))
+    texts += [r.text for r in odd_docs.select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_similar(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()) == sorted(set(want))
+    assert len(set(want)) < len(set(brute_components(list(range(len(texts))), [brute_fingerprint(t) for t in texts])))
