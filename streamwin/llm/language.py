@@ -25,8 +25,6 @@ FOLDS, HELD_OUT = 4, 2
 ORDER = 4
 #: Documents of each language that a model is fitted on, at most, and of all languages.
 MOST_DOCS, MOST_DOCS_IN_ALL = 600, 60_000
-#: Distinct sequences of all languages that the models keep, at most: the most frequent.
-MOST_SEQUENCES = 240_000
 #: One sampled document in so many calibrates.
 CALIBRATE_EVERY = 6
 #: Characters of the pieces of calibrating documents that calibrate the score as well.
@@ -207,7 +205,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["lang", "sequence", "n"])
 
     counting = rows.where("not calibrates").select("lang", "text").mapInArrow(count, "lang string, sequence binary, n long")
-    got = counting.groupBy("lang", "sequence").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sequence", "lang").limit(MOST_SEQUENCES).collect()
+    got = counting.groupBy("lang", "sequence").agg(F.sum("n").alias("n")).orderBy("sequence", "lang").collect()  # bounded by the sampled documents
     if not got:
         return None
     languages = sorted({r[0] for r in got})

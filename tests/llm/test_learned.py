@@ -79,3 +79,20 @@ def test_kneser_ney_by_hand():
     for context in ([32, 32, 32], [ord("a"), ord("b"), ord("r")], [ord("z"), ord("a"), ord("b")], [ord("z")] * 3):
         p = [np.exp(model.log_probabilities(np.array([*context, c], np.uint32))[0, 0]) for c in [*letters, 0x3042]]
         assert abs(sum(p) - 1) < 1e-9
+
+
+def test_no_language_goes_for_the_sequences_of_another(spark):
+    """A small language of rare sequences beside one of over 240,000."""
+    rng = np.random.default_rng(5)
+    signs = [c for c in range(0x4E00, 0x9F00)]
+    big, small = [c for c in signs if c & 255 < 32], [c for c in signs if c & 255 >= 240]
+    texts = [("big", "".join(map(chr, rng.choice(big, 1000)))) for _ in range(500)]
+    texts += [("small", "".join(map(chr, rng.choice(small, 50)))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ["big", "small"]
+    # What was counted is there whole: one sequence for each place of a fitted text, less chance repeats.
+    fitted = docs.where((language.fold_of(F.col("doc_id"), language.FOLDS) != language.HELD_OUT) & (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(language.CALIBRATE_EVERY)) != 0))
+    assert len(model.keys[3]) > 0.999 * fitted.agg(F.sum(F.length("text"))).first()[0] > 240_000
+    got = language.predictions(docs, model).join(docs, "doc_id").where("held_out and lang = 'small'").collect()
+    assert got and all(r.lang_pred == "small" for r in got)
