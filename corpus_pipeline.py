@@ -47,7 +47,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_units, n_tokens, ids, and size and checksum of the decoded text."""
+    """doc_id, n_bytes, n_units, n_tokens, ids, size and checksum of the decoded text, and whether it equals the text."""
     import public_tokenizers
 
     return pieces.encoded_digests(docs, pieces.load(public_tokenizers.path("piece_bpe_32k.model")))

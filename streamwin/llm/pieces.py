@@ -263,7 +263,9 @@ class _Ragged:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_units and ids of each row of ``docs``."""
+    """doc_id, n_bytes, n_units, ids and crc32 (of the text) of each row of ``docs``."""
+    import zlib
+
     spark = docs.sparkSession
     # A row is known by its id and two hashes of its text, which are the same
     # whenever it is read. Rows that share them have equal texts and so equal ids.
@@ -296,16 +298,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FR
         def each(doc_id, text, h1, h2):
             at = numbered(text, units, known)[0]
             # The planes of the numbers' bytes: the high ones are nearly constant.
-            yield doc_id, h1, h2, -1, len(text.encode()), len(at), pack(np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+            raw = text.encode()
+            yield doc_id, h1, h2, -1, len(raw), len(at), zlib.crc32(raw), pack(np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
         return each
 
     kind = docs.schema[id_col].dataType.simpleString()
     head = f"doc_id {kind}, h1 long, h2 int, place int"
     rare = map_rows(rows, make_rare, f"{head}, unit string").join(table.select("unit", "ids"), "unit").drop("unit")
-    packed = map_rows(rows, make_packed, f"{head}, n_bytes long, n_units long, packed binary")
+    packed = map_rows(rows, make_packed, f"{head}, n_bytes long, n_units long, crc32 long, packed binary")
     both = packed.unionByName(rare, allowMissingColumns=True)
-    ordered = both.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "place").select("doc_id", "h1", "h2", "place", "n_bytes", "n_units", "packed", "ids")
+    ordered = both.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "place").select("doc_id", "h1", "h2", "place", "n_bytes", "n_units", "crc32", "packed", "ids")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -320,16 +323,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FR
         def close() -> None:
             nonlocal size
             if heads:
-                which = np.frombuffer(unpack(heads[0][2]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+                which = np.frombuffer(unpack(heads[0][3]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
                 ids = common_ids.take(which, _Ragged((tail[k] for k in sorted(tail)), np.uint16))
-                for n_bytes, n_units, _ in heads:
-                    done.append((key[0], n_bytes, n_units, ids))
+                for n_bytes, n_units, crc32, _ in heads:
+                    done.append((key[0], n_bytes, n_units, ids, crc32))
                     size += len(ids)
 
         def batch() -> pa.RecordBatch:
             nonlocal size
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in done)]), pa.int32()), pa.array(np.concatenate([r[3] for r in done]).astype(np.int32)))
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], doc_type), pa.array([r[1] for r in done], pa.int64()), pa.array([r[2] for r in done], pa.int64()), ids], ["doc_id", "n_bytes", "n_units", "ids"])
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], doc_type), pa.array([r[1] for r in done], pa.int64()), pa.array([r[2] for r in done], pa.int64()), ids, pa.array([r[4] for r in done], pa.int64())], ["doc_id", "n_bytes", "n_units", "ids", "crc32"])
             done.clear()
             size = 0
             return out
@@ -337,12 +340,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FR
         doc_type = pa.int64()
         for b in batches:
             doc_type = b.column("doc_id").type
-            for doc_id, h1, h2, place, n_bytes, n_units, numbers, ids in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, h1, h2, place, n_bytes, n_units, crc32, numbers, ids in zip(*(c.to_pylist() for c in b.columns)):
                 if (doc_id, h1, h2) != key:
                     close()
                     key, heads, tail = (doc_id, h1, h2), [], {}
                 if numbers is not None:
-                    heads.append((n_bytes, n_units, numbers))
+                    heads.append((n_bytes, n_units, crc32, numbers))
                 else:
                     tail[place] = ids
                 if size >= 1 << 20:
@@ -351,7 +354,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FR
         if done:
             yield batch()
 
-    return ordered.mapInArrow(assemble, f"doc_id {kind}, n_bytes long, n_units long, ids array<int>")
+    return ordered.mapInArrow(assemble, f"doc_id {kind}, n_bytes long, n_units long, ids array<int>, crc32 long")
 
 
 def make_decoder(vocabulary: Vocabulary) -> Callable[[], Callable[[np.ndarray], bytes]]:
@@ -390,9 +393,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
 
 def encoded_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_bytes, n_units, n_tokens, ids, and of the decoded ids: text_bytes
-    and text_crc32, and whether they are those of the text that was encoded."""
+    and text_crc32, and decoded_equal, whether they are those of the text that was encoded."""
     import zlib
 
+    import pyarrow.compute as pc
+
     maker = make_decoder(vocabulary)
     marked = encode(docs, vocabulary)
 
@@ -402,11 +407,13 @@ def encoded_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids = b.column("ids")
             values, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
             decoded = [text(values[lo:hi]) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            sizes = [len(x) for x in decoded]
+            sizes = pa.array([len(x) for x in decoded], pa.int64())
+            checks = pa.array([zlib.crc32(x) for x in decoded], pa.int64())
+            equal = pc.and_(pc.equal(sizes, b.column("n_bytes")), pc.equal(checks, b.column("crc32")))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_bytes"), b.column("n_units"), pa.array(np.diff(cuts), pa.int64()), ids, pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for x in decoded], pa.int64())],
-                ["doc_id", "n_bytes", "n_units", "n_tokens", "ids", "text_bytes", "text_crc32"],
+                [b.column("doc_id"), b.column("n_bytes"), b.column("n_units"), pa.array(np.diff(cuts), pa.int64()), ids, sizes, checks, equal],
+                ["doc_id", "n_bytes", "n_units", "n_tokens", "ids", "text_bytes", "text_crc32", "decoded_equal"],
             )
 
     kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_units long, n_tokens long, ids array<int>, text_bytes long, text_crc32 long")
+    return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_units long, n_tokens long, ids array<int>, text_bytes long, text_crc32 long, decoded_equal boolean")

@@ -74,3 +74,20 @@ def test_viterbi_finds_the_best_path(spark):
     units = spark.createDataFrame([(w, 1) for w in words], "unit string, n long")
     got = {r.unit: r.ids for r in pieces.encode_units(units, vocabulary).collect()}
     assert got == {w: best(w) for w in words}
+
+
+def test_wrong_decoding_is_seen(spark, monkeypatch):
+    """Of the right length, too: the size alone doesn't tell."""
+    texts = [(1, "abc def"), (2, f"abc{pieces.SPACE}def"), (3, None), (4, ""), (5, "a plain line"), (5, "a plain line")]
+    docs, vocabulary = spark.createDataFrame(texts, "doc_id long, text string"), pieces.load(PIECE)
+    got = sorted((r.doc_id, r.decoded_equal) for r in pieces.encoded_digests(docs, vocabulary).collect())
+    assert got == [(1, True), (2, False), (3, True), (4, True), (5, True), (5, True)]
+    maker = pieces.make_decoder(vocabulary)
+
+    def wrong():
+        decode = maker()
+        return lambda ids: decode(ids).replace(b"c", b"x")
+
+    monkeypatch.setattr(pieces, "make_decoder", lambda _: wrong)
+    rows = pieces.encoded_digests(docs, vocabulary).collect()
+    assert {r.doc_id: (r.text_bytes == r.n_bytes, r.decoded_equal) for r in rows if r.doc_id in (1, 5)} == {1: (True, False), 5: (True, True)}
