@@ -32,12 +32,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/streamwin-{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: it is computed once,
-    and a lost executor takes nothing of it along."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and a lost executor takes nothing of it along. Its shuffle files go at once."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``stored`` has written for ``df``."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -3,25 +3,28 @@
 Text becomes units: words with their leading spaces, runs of signs, digits. No
 piece of the vocabulary reaches over the border of two units (checked when it is
 loaded), so each distinct unit is encoded once. Its lattice is relational: the
-substrings of bounded length are exploded, joined to the piece table on their
-text, and the edges grouped by unit again. A fold with Spark's higher-order
-aggregate then picks the path:
+substrings of the lengths that pieces with the same first two characters have are
+exploded, joined to the piece table on their text, and the edges grouped by unit
+again. A fold with Spark's higher-order aggregate then picks the path:
 
 - unigram models: Viterbi, the path of the greatest summed score, of equal ones
   that whose last piece scores best;
 - byte-pair models, where a score is the rank of a merge and a sum of ranks
-  means nothing: the merges themselves. Each step takes the best-ranked edge,
-  leftmost first, that joins two neighbouring symbols. That is what the
-  library does, and Viterbi would give other ids.
+  means nothing: the merges themselves. The fold goes through the edges once,
+  best rank first, then from left to right, and takes each that joins two neighbouring
+  symbols. That is what the library does (``load`` checks that no merge can
+  enable a better-ranked one), and Viterbi would give other ids.
 
 Characters without a piece are written as bytes if the model has byte pieces, or
-else as the unknown piece. Units of more than ``MOST_CHARS`` characters, whose
-fold would be quadratic, are encoded by the library itself.
+else as the unknown piece. A unit of more than 131,071 characters (one run of
+letters or signs without a space or digit) is encoded by the library itself.
 
-Ids go back to documents through the common vocabulary join: the most common
-units are broadcast, the rest are joined by unit, and documents travel as
-compressed unit numbers. Null and empty texts have no ids; decoding gives the
-text back.
+Ids go back to documents by blocks (``blocks.py``).
+
+Null and empty texts have no ids; decoding gives the text back. Repeated rows are
+encoded each, further columns are not looked at, an empty table gives no rows.
+U+2581, the sign for a space in pieces, decodes to a space: texts that hold it
+don't come back as they were.
 """
 
 from __future__ import annotations
@@ -31,22 +34,23 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_rows, stored, texts
-from .vocabulary import common_units, unit_counts
+from .blocks import LONGEST_KEY, MOST_UNITS, Ragged, as_bytes, distinct_units, listed, make_blocks, ragged, with_values
+from .common import forget, map_rows, stored, texts
 
 #: The sign that stands for a space in pieces.
 SPACE = "▁"
-#: Characters of the longest unit that is folded; its borders are the bits of a long.
-MOST_CHARS = 48
+# An edge is a long: rank (20 bits), end (17), characters (5), id (20), so that
+# edges sort by rank, then from left to right.
+_CHARS, _END, _RANK = 20, 25, 42
 #: Stands for an id where a character has no piece.
-NO_PIECE = 0xFFFF
-#: Most common units that are broadcast.
-MOST_FREQUENT = 300_000
+NO_PIECE = (1 << 20) - 1
+#: Characters of the longest unit with a lattice, and of the longest piece.
+MOST_CHARS, LONGEST_PIECE = (1 << 17) - 1, 31
 
 
 @dataclass
@@ -94,6 +98,10 @@ def load(path: str) -> Vocabulary:
         raise ValueError("only unigram and BPE models are supported")
     pieces = [p.piece for p in model.pieces]
     normal = [p.type in (1, 4) for p in model.pieces]
+    if len(pieces) > NO_PIECE or max(len(p) for p, n in zip(pieces, normal) if n) > LONGEST_PIECE:
+        raise ValueError(f"only models of less than {NO_PIECE} pieces of at most {LONGEST_PIECE} characters are supported")
+    if kinds[model.trainer_spec.model_type] == "bpe":
+        _check_merges({p.piece: -p.score for p, n in zip(model.pieces, normal) if n})
     found = _unit_pattern(True)
     return Vocabulary(
         path,
@@ -109,6 +117,23 @@ def load(path: str) -> Vocabulary:
     )
 
 
+def _check_merges(rank: dict[str, float]) -> None:
+    """Whether one pass over edges, by rank and end, makes all merges in order.
+
+    It does if no inner merge of a piece, of its text taken alone, is of worse rank
+    than its own. Those of the same rank end where it does or before, and are shorter.
+    """
+    for piece, own in rank.items():
+        symbols = list(piece)
+        while len(symbols) > 2:
+            best = min(((r, i) for i in range(len(symbols) - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None), default=None)
+            if best is None:
+                break
+            if best[0] > own:
+                raise ValueError(f"merges inside the piece {piece!r} are of worse rank than its own")
+            symbols[best[1] : best[1] + 2] = [symbols[best[1]] + symbols[best[1] + 1]]
+
+
 def make_splitter(vocabulary: Vocabulary) -> Callable[[], Callable[[str], list[str]]]:
     fine, prefix = vocabulary.fine, SPACE if vocabulary.dummy_prefix else ""
 
@@ -128,233 +153,146 @@ def make_splitter(vocabulary: Vocabulary) -> Callable[[], Callable[[str], list[s
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """piece, id, rank (of the score, best first, equal scores alike) and score."""
+    """piece, code (rank of the score, best first, equal scores alike; characters and id) and score."""
     ranks = {s: i for i, s in enumerate(sorted({s for s, n in zip(vocabulary.scores, vocabulary.normal) if n}, reverse=True))}
-    rows = [(p, i, ranks[s], float(s)) for i, (p, s, n) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.normal)) if n]
-    return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
-
-
-def _lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, n and edges, by rank and start. Every single character has an edge;
-    its id is NO_PIECE if there is no such piece. ends and inner are the bits of
-    an edge's two ends and of the borders between them. Units of more than
-    ``MOST_CHARS`` characters have a single edge."""
-    size = F.length("unit")
-    starts = units.withColumn("size", size).withColumn("start", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > MOST_CHARS, 0).otherwise(F.col("size") - 1))))
-    spans = starts.withColumn("chars", F.explode(F.sequence(F.lit(1), F.when(F.col("size") > MOST_CHARS, 1).otherwise(F.least(F.lit(longest), F.col("size") - F.col("start"))))))
-    spans = spans.withColumn("piece", F.expr("substring(unit, start + 1, chars)"))
-    # The piece table is that of one vocabulary file.
-    edges = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or chars = 1")
-    edge = F.struct(
-        F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"),
-        F.col("start"),
-        (F.col("start") + F.col("chars")).alias("end"),
-        F.coalesce("id", F.lit(NO_PIECE)).alias("id"),
-        F.coalesce("score", F.lit(-1e12)).alias("score"),
-        F.expr("shiftleft(1L, start) | shiftleft(1L, start + chars)").alias("ends"),
-        F.expr("shiftleft(1L, start + chars) - shiftleft(1L, start + 1)").alias("inner"),
-    )
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-# The mask m has a bit for every border between symbols. An edge joins two
-# neighbours if both its ends are borders and just one lies between; it is a
-# symbol if none does.
-_MERGE_FOLD = """aggregate(
-    sequence(1, greatest(length(unit) - 1, 1)),
-    named_struct('m', shiftleft(1L, length(unit) + 1) - 1L, 'done', false),
-    (acc, step) -> if(acc.done, acc, transform(
-        array(get(filter(wide, e -> (acc.m & e.ends) = e.ends AND bit_count(acc.m & e.inner) = 1), 0).inner),
-        inner -> named_struct('m', acc.m & ~coalesce(inner, 0L), 'done', inner is null))[0]),
-    acc -> acc.m)"""
+    rows = [(p, ranks[s] << _RANK | len(p) << _CHARS | i, float(s)) for i, (p, s, n) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.normal)) if n]
+    return spark.createDataFrame(rows, "piece string, code long, score double")
+
+
+def head_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """head, the first two characters of pieces, and sizes, the numbers of characters of pieces that begin so."""
+    sizes: dict[str, set[int]] = {}
+    for p, n in zip(vocabulary.pieces, vocabulary.normal):
+        if n and len(p) > 1:
+            sizes.setdefault(p[:2], set()).add(len(p))
+    return spark.createDataFrame([(h, sorted(x)) for h, x in sizes.items()], "head string, sizes array<int>")
+
+
+def _lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """key, unit and edges, in order, of ``units`` (key, unit) dealt by key. Every
+    single character has an edge, of id NO_PIECE if there is no such piece; edges
+    are longs, or for unigram models (start, end, id, score). A long unit is in
+    one of its rows only, so that it isn't copied with each."""
+    spark = units.sparkSession
+    starts = units.withColumn("start", F.explode(F.expr("sequence(0, length(unit) - 1)")))
+    starts = starts.withColumn("rest", F.expr(f"substring(unit, start + 1, {vocabulary.longest})"))
+    # Both tables are those of one vocabulary file.
+    heads = starts.withColumn("head", F.expr("substring(rest, 1, 2)")).join(F.broadcast(head_table(spark, vocabulary)), "head", "left")
+    spans = heads.withColumn("chars", F.explode(F.expr("concat(array(1), coalesce(sizes, cast(array() as array<int>)))"))).where("chars <= length(rest)")
+    spans = spans.withColumn("piece", F.expr("substring(rest, 1, chars)"))
+    edges = spans.join(F.broadcast(piece_table(spark, vocabulary)), "piece", "left").where("code is not null or chars = 1")
+    code = F.coalesce("code", F.lit(((1 << 20) - 1) << _RANK | 1 << _CHARS | NO_PIECE))
+    if vocabulary.kind == "bpe":
+        edge = code + F.shiftleft((F.col("start") + F.col("chars")).cast("long"), _END)
+    else:
+        id = code.bitwiseAND(F.lit(NO_PIECE)).cast("int").alias("id")
+        edge = F.struct(F.shiftright(code, _RANK).alias("rank"), "start", (F.col("start") + F.col("chars")).alias("end"), id, F.coalesce("score", F.lit(-1e12)).alias("score"))
+    once = F.when((F.col("start") == 0) & (F.col("chars") == 1), F.col("unit"))
+    rows = edges.select("key", once.alias("unit"), edge.alias("edge"))
+    return rows.groupBy("key").agg(F.first("unit", ignorenulls=True).alias("unit"), F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+# The borders between a unit's symbols are bits, all set at first: of one long, or
+# of longs of 32 bits each for units of more than LONGEST_KEY characters. `seen` is the bits from an edge's start
+# to its end: an edge joins two neighbours if both its ends are borders and just
+# one lies between, and is a symbol if none does.
+_C = f"cast(shiftright(e, {_CHARS}) & 31L as int)"
+_S = f"cast((shiftright(e, {_END}) & {MOST_CHARS}L) - (shiftright(e, {_CHARS}) & 31L) as int)"
+_WIDE = f"filter(edges, e -> (e & {31 << _CHARS}L) > {1 << _CHARS}L)"
+_WORD = f"cast({_S} div 32 as int)"
+_SEEN = {
+    "short": f"(shiftrightunsigned(m, {_S}) & (shiftleft(2L, {_C}) - 1L))",
+    "long": f"(shiftrightunsigned(m[{_WORD}] | shiftleft(m[{_WORD} + 1], 32), {_S} % 32) & (shiftleft(2L, {_C}) - 1L))",
+}
+_FULL = {
+    "short": "shiftleft(1L, length(unit) + 1) - 1L",
+    "long": "transform(sequence(0, cast(length(unit) div 32 as int) + 1), i -> 4294967295L)",
+}
+_BIT = f"shiftleft({_SEEN['long']} & (shiftleft(1L, {_C}) - 2L), {_S} % 32)"
+_JOINED = {
+    "short": f"m & ~shiftleft(shiftleft(1L, {_C}) - 2L, {_S})",
+    "long": f"concat(slice(m, 1, {_WORD}), array(m[{_WORD}] & ~({_BIT} & 4294967295L), m[{_WORD} + 1] & ~shiftrightunsigned({_BIT}, 32)), slice(m, {_WORD} + 3, size(m)))",
+}
+
+
+def _merge_path(size: str) -> str:
+    """The edges of a byte-pair path, from left to right."""
+    seen, ends = _SEEN[size], f"(1L | shiftleft(1L, {_C}))"
+    fold = f"aggregate({_WIDE}, {_FULL[size]}, (m, e) -> if(bit_count({seen}) = 3 AND ({seen} & {ends}) = {ends}, {_JOINED[size]}, m))"
+    # The fold's result is bound to a name, else it would be made for each edge.
+    return f"transform(array({fold}), m -> sort_array(transform(filter(edges, e -> {seen} = {ends}), e -> e & {(1 << _RANK) - 1}L)))[0]"
 
-_BPE_PATH = """sort_array(transform(
-    filter(edges, e -> (mask & e.ends) = e.ends AND (mask & e.inner) = 0),
-    e -> named_struct('start', e.start, 'end', e.end, 'id', e.id)))"""
 
 _VITERBI_PATH = """aggregate(
     sequence(1, length(unit)),
-    array(named_struct('score', 0D, 'path', cast(array() as array<struct<start:int,end:int,id:int>>))),
+    array(named_struct('score', 0D, 'path', cast(array() as array<struct<start:int,id:int>>))),
     (acc, t) -> concat(acc, array(aggregate(
         filter(edges, e -> e.end = t),
-        named_struct('score', -1e300D, 'path', cast(array() as array<struct<start:int,end:int,id:int>>)),
+        named_struct('score', -1e300D, 'path', cast(array() as array<struct<start:int,id:int>>)),
         (best, e) -> if(acc[e.start].score + e.score > best.score,
-            named_struct('score', acc[e.start].score + e.score, 'path', concat(acc[e.start].path, array(named_struct('start', e.start, 'end', e.end, 'id', e.id)))),
+            named_struct('score', acc[e.start].score + e.score, 'path', concat(acc[e.start].path, array(named_struct('start', e.start, 'id', e.id)))),
             best)))),
     acc -> acc[length(unit)].path)"""
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``units`` (unit, n) with ids, the pieces of each unit.
-
-    If ``units`` are dealt by unit, so is all that follows: nothing is shuffled.
-    """
-    lattice = _lattice(units, piece_table(units.sparkSession, vocabulary), vocabulary.longest)
-    folded = F.length("unit") <= MOST_CHARS
-    edges = F.when(folded, F.col("edges")).otherwise(F.slice("edges", 1, 0))
-    lattice = lattice.withColumn("edges", edges)
+    """key, unit and ids, the pieces, of each distinct unit of ``units`` (unit)."""
+    long = F.length("unit") > MOST_CHARS
+    lattice = _lattice(distinct_units(units.where(~long)), vocabulary)
     if vocabulary.kind == "bpe":
-        lattice = lattice.withColumn("wide", F.expr("filter(edges, e -> e.end - e.start > 1)"))
-        path = lattice.withColumn("mask", F.when(folded, F.expr(_MERGE_FOLD))).withColumn("path", F.expr(_BPE_PATH))
+        path = lattice.withColumn("path", F.when(F.length("unit") <= LONGEST_KEY, F.expr(_merge_path("short"))).otherwise(F.expr(_merge_path("long"))))
+        start, id = f"cast(shiftright(e, {_END}) - 1 as int)", f"cast(e & {NO_PIECE}L as int)"  # read for single characters only
     else:
-        path = lattice.withColumn("path", F.when(folded, F.expr(_VITERBI_PATH)))
+        path = lattice.withColumn("path", F.expr(_VITERBI_PATH))
+        start, id = "e.start", "e.id"
     if vocabulary.bytes_at >= 0:
-        code = "hex(encode(substring(unit, e.start + 1, 1), 'UTF-8'))"
+        code = f"hex(encode(substring(unit, {start} + 1, 1), 'UTF-8'))"
         spelled = f"transform(array({code}), h -> transform(sequence(1, length(h), 2), i -> cast(conv(substring(h, i, 2), 16, 10) as int) + {vocabulary.bytes_at}))[0]"
     else:
         spelled = f"array({vocabulary.unknown})"
-    ids = F.expr(f"flatten(transform(path, e -> if(e.id = {NO_PIECE}, {spelled}, array(e.id))))")
-    return path.select("unit", "n", F.coalesce(_library(vocabulary)(F.when(~folded, F.col("unit"))), ids).alias("ids"))
+    plain = F.expr(f"transform(path, e -> {id})")
+    ids = F.when(F.array_contains(plain, NO_PIECE), F.expr(f"flatten(transform(path, e -> if({id} = {NO_PIECE}, {spelled}, array({id}))))")).otherwise(plain)
+    encoded = path.select("key", "unit", ids.alias("ids"))
+    return encoded.unionByName(_by_library(distinct_units(units.where(long)), vocabulary)) if vocabulary.path else encoded
 
 
-def _library(vocabulary: Vocabulary) -> Callable:
-    """The library's own encoder of a unit, for units that aren't folded; null for null."""
+def _by_library(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     path = vocabulary.path
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
-
+    def make() -> Callable[..., Iterable[tuple]]:
         library = None  # loaded for the first unit: most tasks have none
-        for units in parts:
-            out = []
-            for unit in units:
-                if unit is None:
-                    out.append(None)
-                    continue
-                if library is None:
-                    model = sentencepiece_model_pb2.ModelProto()
-                    with open(path, "rb") as f:
-                        model.ParseFromString(f.read())
-                    model.normalizer_spec.add_dummy_prefix = False
-                    library = SentencePieceProcessor(model_proto=model.SerializeToString())
-                out.append(library.encode(unit))
-            yield pd.Series(out, dtype=object)
-
-    return F.pandas_udf(run, "array<int>")
-
-
-class _Ragged:
-    """Lists of small numbers, one after another."""
-
-    def __init__(self, lists: Iterable, dtype: type):
-        parts = [np.asarray(x, dtype) for x in lists]
-        self.values = np.concatenate(parts) if parts else np.zeros(0, dtype)
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
-
-    def take(self, which: np.ndarray, more: _Ragged | None = None) -> np.ndarray:
-        """The lists ``which``, joined; numbers from the end of this one on are those of ``more``."""
-        n = len(self.starts) - 1
-        starts, ends, values = self.starts[:-1], self.starts[1:], self.values
-        if more is not None and len(more.starts) > 1:
-            late = which >= n
-            low = np.where(late, 0, which)
-            high = np.where(late, which - n, 0)
-            begin = np.where(late, more.starts[:-1][high], starts[low] if n else 0)
-            sizes = np.where(late, more.starts[1:][high], ends[low] if n else 0) - begin
-            index = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            from_more = np.repeat(late, sizes)
-            out = np.empty(len(index), values.dtype)
-            out[from_more] = more.values[index[from_more]]
-            out[~from_more] = values[index[~from_more]]
-            return out
-        begin = starts[which]
-        sizes = ends[which] - begin
-        return values[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_units, ids and crc32 (of the text) of each row of ``docs``."""
-    import zlib
 
-    spark = docs.sparkSession
-    # A row is known by its id and two hashes of its text, which are the same
-    # whenever it is read. Rows that share them have equal texts and so equal ids.
-    key = [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")]
-    rows = texts(docs, id_col, text_col).select("doc_id", "text", *key)
-    split = make_splitter(vocabulary)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = stored(encode_units(unit_counts(rows, split, tasks), vocabulary), "units")
-    common = sorted(common_units(table, most_frequent).select("unit", "ids", "n").toLocalIterator(), key=lambda r: (-r[2], r[0]))
-    # Small numbers for common units: documents travel as numbers.
-    shared_numbers = spark.sparkContext.broadcast({r[0]: i for i, r in enumerate(common)})
-    shared_ids = spark.sparkContext.broadcast(_Ragged((r[1] for r in common), np.uint16))
-    first = len(common)
-    del common
-
-    def numbered(text: str, units: Callable[[str], list[str]], known: Callable) -> tuple[list[int], dict[str, int]]:
-        own: dict[str, int] = {}
-        new = own.setdefault
-        return [k if (k := known(u)) is not None else new(u, first + len(own)) for u in units(text)], own
-
-    def make_rare() -> Callable[..., Iterable[tuple]]:
-        units, known = split(), shared_numbers.value.get
-        return lambda doc_id, text, h1, h2: [(doc_id, h1, h2, k, u) for u, k in numbered(text, units, known)[1].items()]
-
-    def make_packed() -> Callable[..., Iterable[tuple]]:
-        import zstandard
-
-        units, known, pack = split(), shared_numbers.value.get, zstandard.ZstdCompressor(level=3).compress
-
-        def each(doc_id, text, h1, h2):
-            at = numbered(text, units, known)[0]
-            # The planes of the numbers' bytes: the high ones are nearly constant.
-            raw = text.encode()
-            yield doc_id, h1, h2, -1, len(raw), len(at), zlib.crc32(raw), pack(np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        def each(key, unit):
+            nonlocal library
+            if library is None:
+                from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+                model = sentencepiece_model_pb2.ModelProto()
+                with open(path, "rb") as f:
+                    model.ParseFromString(f.read())
+                model.normalizer_spec.add_dummy_prefix = False
+                library = SentencePieceProcessor(model_proto=model.SerializeToString())
+            yield key, unit, library.encode(unit)
 
         return each
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    head = f"doc_id {kind}, h1 long, h2 int, place int"
-    rare = map_rows(rows, make_rare, f"{head}, unit string").join(table.select("unit", "ids"), "unit").drop("unit")
-    packed = map_rows(rows, make_packed, f"{head}, n_bytes long, n_units long, crc32 long, packed binary")
-    both = packed.unionByName(rare, allowMissingColumns=True)
-    ordered = both.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "place").select("doc_id", "h1", "h2", "place", "n_bytes", "n_units", "crc32", "packed", "ids")
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack, common_ids = zstandard.ZstdDecompressor().decompress, shared_ids.value
-        key: tuple | None = None
-        heads: list[tuple] = []
-        tail: dict[int, list[int]] = {}
-        done: list[tuple] = []
-        size = 0
-
-        def close() -> None:
-            nonlocal size
-            if heads:
-                which = np.frombuffer(unpack(heads[0][3]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-                ids = common_ids.take(which, _Ragged((tail[k] for k in sorted(tail)), np.uint16))
-                for n_bytes, n_units, crc32, _ in heads:
-                    done.append((key[0], n_bytes, n_units, ids, crc32))
-                    size += len(ids)
-
-        def batch() -> pa.RecordBatch:
-            nonlocal size
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in done)]), pa.int32()), pa.array(np.concatenate([r[3] for r in done]).astype(np.int32)))
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], doc_type), pa.array([r[1] for r in done], pa.int64()), pa.array([r[2] for r in done], pa.int64()), ids, pa.array([r[4] for r in done], pa.int64())], ["doc_id", "n_bytes", "n_units", "ids", "crc32"])
-            done.clear()
-            size = 0
-            return out
-
-        doc_type = pa.int64()
-        for b in batches:
-            doc_type = b.column("doc_id").type
-            for doc_id, h1, h2, place, n_bytes, n_units, crc32, numbers, ids in zip(*(c.to_pylist() for c in b.columns)):
-                if (doc_id, h1, h2) != key:
-                    close()
-                    key, heads, tail = (doc_id, h1, h2), [], {}
-                if numbers is not None:
-                    heads.append((n_bytes, n_units, crc32, numbers))
-                else:
-                    tail[place] = ids
-                if size >= 1 << 20:
-                    yield batch()
-        close()
-        if done:
-            yield batch()
-
-    return ordered.mapInArrow(assemble, f"doc_id {kind}, n_bytes long, n_units long, ids array<int>, crc32 long")
+    return map_rows(units, make, "key string, unit string, ids array<int>")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, most_units: int = MOST_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_units, ids and crc32 (of the text) of each row of ``docs``."""
+    blocks = make_blocks(texts(docs, id_col, text_col), make_splitter(vocabulary), most_units)
+    units = stored(encode_units(listed(blocks), vocabulary).select("key", as_bytes("ids").alias("value")), "units")
+    found = stored(listed(blocks).select("key", "at").join(units, "key").select("at", "value"), "pieces")
+    forget(units)
+
+    def each(values: Ragged, numbers: np.ndarray, times: np.ndarray, n_units: np.ndarray) -> list[pa.Array]:
+        ends = np.concatenate([[0], np.cumsum(values.sizes[numbers])])[np.cumsum(n_units)]
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.take(numbers), pa.int32()))
+        return [pa.array(n_units), ids]
+
+    fields = [("doc_id", docs.schema[id_col].dataType), ("n_bytes", T.LongType()), ("n_units", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("crc32", T.LongType())]
+    return with_values(blocks, found, ragged, each, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def make_decoder(vocabulary: Vocabulary) -> Callable[[], Callable[[np.ndarray], bytes]]:
@@ -367,7 +305,7 @@ def make_decoder(vocabulary: Vocabulary) -> Callable[[], Callable[[np.ndarray],
         raw[unknown] = " ⁇ ".encode()
         if first >= 0:
             raw[first : first + 256] = [bytes([i]) for i in range(256)]
-        table = _Ragged((np.frombuffer(r, np.uint8) for r in raw), np.uint8)
+        table = Ragged(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64))
 
         def decode(ids: np.ndarray) -> bytes:
             text = table.take(ids.astype(np.int64)).tobytes() if len(ids) else b""

@@ -1,52 +1,73 @@
 """Token counts of whole texts, without making ids.
 
 The pieces of a pre-token depend on it alone. Each distinct pre-token is counted
-once, the counts are joined to the pre-token frequencies of each document, and
-the products are summed. A null or empty text has 0 tokens.
+once, the counts are joined to the pre-token frequencies of each document by
+blocks (``blocks.py``), and the products are summed.
+
+A null or empty text has 0 tokens; repeated rows are counted each; further columns
+are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_rows, stored, texts
-from .vocabulary import FREQUENT_UNITS, frequent, unit_counts
+from .blocks import MOST_UNITS, distinct_units, listed, make_blocks, plain, with_values
+from .common import forget, stored, texts
 
-#: Special strings of the vocabulary; each counts as one token wherever it stands.
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: How the vocabulary's file changes and splits texts.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Up to U+017F nothing composes and, but for U+0130, lower case is one to one:
 # the pre-tokeniser's classes can be written out there.
 _PLAIN = re.compile(r"[^\x00-įı-ſ]")
 _SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", r"a-zA-ZªµºÀ-ÖØ-öø-ſ", r"0-9²³¹¼½¾"
 _PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-_SPECIAL = re.compile("|".join(map(re.escape, SPECIAL)))
+
+
+def special_strings(path: str) -> tuple[str, ...]:
+    """The file's special strings: each counts as one token wherever it stands. A
+    file that splits text by another rule than ``_PRETOKEN`` is refused."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    changes = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    rules = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if changes != NORMALIZERS or rules[:1] != [RULE]:
+        raise ValueError(f"{path} splits text by a rule that isn't supported")
+    return tuple(sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True))
 
 
 def make_splitter(path: str) -> Callable[[], Callable[[str], list[str]]]:
     """A maker of the function from a text to its pre-tokens, special strings included."""
+    strings = special_strings(path)
 
     def make() -> Callable[[str], list[str]]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        normalize, pre_tokenize = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
-        odd, pretokens, special = _PLAIN.search, _PRETOKEN.findall, _SPECIAL
+        odd, pretokens, special = _PLAIN.search, _PRETOKEN.findall, re.compile("|".join(map(re.escape, strings)) or "(?!)")
+        tokenizer = None  # loaded for the first text that needs it
 
         def plain(text: str) -> list[str]:
+            nonlocal tokenizer
             if not odd(text):
                 return pretokens(text.lower())
-            text = normalize(text)
-            return [text[a:b] for _, (a, b) in pre_tokenize(text)]
+            if tokenizer is None:
+                from tokenizers import Tokenizer
+
+                tokenizer = Tokenizer.from_file(path)
+            text = tokenizer.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
         def split(text: str) -> list[str]:
-            if "<|" not in text:
+            if not special.search(text):
                 return plain(text)
             out = special.findall(text)
             for part in special.split(text):
@@ -59,48 +80,35 @@ def make_splitter(path: str) -> Callable[[], Callable[[str], list[str]]]:
 
 
 def count_pieces(units: DataFrame, path: str) -> DataFrame:
-    """``units`` (unit, n) with the number of pieces of each unit."""
+    """key and pieces, the number of each distinct unit of ``units`` (key, unit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         for b in batches:
-            pieces = [len(e.ids) for e in tokenizer.encode_batch(b.column("unit").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array(pieces, pa.int64())], ["unit", "n", "pieces"])
+            pieces: list[int] = []
+            for at in range(0, b.num_rows, 1000):
+                pieces += [len(e.ids) for e in tokenizer.encode_batch_fast(b.column("unit").slice(at, 1000).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(pieces, pa.int64())], ["key", "pieces"])
 
-    return units.mapInArrow(run, "unit string, n long, pieces long")
+    return units.mapInArrow(run, "key string, pieces long")
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048, most_frequent: int = FREQUENT_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 2048, most_units: int = MOST_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row of ``docs``."""
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col, key=True)
-    split = make_splitter(path)
-    table = stored(count_pieces(unit_counts(rows, split), path), "pieces")
-    known = spark.sparkContext.broadcast(frequent(table, "pieces", most=most_frequent))
-
-    def make() -> Callable[..., Iterable[tuple]]:
-        pretokens, pieces = split(), known.value.get
-
-        def each(row_key, doc_id, text):
-            total = 0
-            for unit, n in Counter(pretokens(text)).items():
-                if (k := pieces(unit)) is not None:
-                    total += k * n
-                else:
-                    yield row_key, None, None, unit, n, 0
-            # No pre-token has a digit after another sign: this row's key joins to nothing.
-            yield row_key, doc_id, len(text.encode()), f"\0{row_key}", 0, total
-
-        return each
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = map_rows(rows.select("row_key", "doc_id", "text"), make, f"row_key long, doc_id {kind}, n_bytes long, unit string, n long, known long")
-    total = F.sum(F.col("known") + F.coalesce(F.col("pieces") * F.col("n"), F.lit(0)))
-    return (
-        parts.join(table.select("unit", "pieces"), "unit", "left")
-        .groupBy("row_key")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), total.alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    blocks = make_blocks(texts(docs, id_col, text_col), make_splitter(path), most_units, counted=True)
+    counts = stored(count_pieces(distinct_units(listed(blocks)), path), "pieces")
+    found = stored(listed(blocks).select("key", "at").join(counts, "key").select("at", F.col("pieces").alias("value")), "counts")
+    forget(counts)
+
+    def each(values: np.ndarray, numbers: np.ndarray, times: np.ndarray, n_units: np.ndarray) -> list[pa.Array]:
+        ends = np.cumsum(n_units)
+        sums = np.concatenate([[0], np.cumsum(values[numbers] * times)])
+        return [pa.array(sums[ends] - sums[ends - n_units])]
+
+    fields = [("doc_id", docs.schema[id_col].dataType), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("crc32", T.LongType())]
+    counted = with_values(blocks, found, plain, each, T.StructType([T.StructField(*f) for f in fields]))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

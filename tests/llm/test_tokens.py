@@ -11,27 +11,32 @@ from streamwin.llm import pieces, token_counts
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-@pytest.mark.parametrize("most_frequent", [0, 50, 100_000])
-def test_counts_equal_the_library(spark, documents, odd_docs, most_frequent):
+@pytest.mark.parametrize("most_units", [1, 300, 100_000])
+def test_counts_equal_the_library(spark, documents, odd_docs, most_units):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORD)
     for docs in (documents, odd_docs):
-        got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, WORD, most_frequent=most_frequent).collect())
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, WORD, most_units=most_units).collect())
         rows = docs.select("doc_id", "text").collect()
         sizes = [len(e.ids) for e in tokenizer.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
         assert got == sorted((r.doc_id or 0, len((r.text or "").encode()), n, n > 2048) for r, n in zip(rows, sizes))
     assert token_counts.token_counts(odd_docs.limit(0), WORD).isEmpty()
 
 
-@pytest.mark.parametrize("most_frequent", [0, 100_000])
-def test_encoding_equals_the_library(spark, documents, odd_docs, most_frequent):
+def test_files_of_other_rules_are_refused():
+    with pytest.raises(ValueError, match="isn't supported"):
+        token_counts.make_splitter(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("most_units", [300, 100_000])
+def test_encoding_equals_the_library(spark, documents, odd_docs, most_units):
     import sentencepiece
 
     library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.load(PIECE)
-    for docs in (documents.limit(60), odd_docs):
+    for docs in (documents, odd_docs):
         rows = docs.select("doc_id", "text").collect()
-        encoded = pieces.encode(docs, vocabulary, most_frequent).persist()
+        encoded = pieces.encode(docs, vocabulary, most_units).persist()
         got = sorted((r.doc_id or 0, r.ids) for r in encoded.collect())
         assert got == sorted((r.doc_id or 0, library.encode(r.text or "")) for r in rows)
         decoded = sorted((r.doc_id or 0, r.text) for r in pieces.decode(encoded, vocabulary).collect())
@@ -46,6 +51,9 @@ def test_units_of_random_signs(spark):
     library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.load(PIECE)
     rng = random.Random(1)
     texts = ["".join(rng.choice(" aeinrst.,'-_()=/*#09Zé²½日\n") for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    # Long units: their borders take several longs. Long runs of spaces: pieces of equal scores.
+    texts += ["".join(rng.choice("aeinrst") for _ in range(n)) for n in (61, 62, 63, 64, 95, 96, 97, 500, 3000)]
+    texts += [c * n for c in "=- x日" for n in (7, 61, 62, 63, 64, 65, 1000)] + ["a" + " " * n + "b" for n in range(2, 70)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.ids for r in pieces.encode(docs, vocabulary).collect()}
     assert got == {i: library.encode(t) for i, t in enumerate(texts)}
@@ -71,7 +79,7 @@ def test_viterbi_finds_the_best_path(spark):
         return paths[len(word)][1]
 
     words = ["▁", "▁ab", "▁aba", "abab", "▁abc", "bbbb", "▁aabba"]
-    units = spark.createDataFrame([(w, 1) for w in words], "unit string, n long")
+    units = spark.createDataFrame([(w,) for w in words], "unit string")
     got = {r.unit: r.ids for r in pieces.encode_units(units, vocabulary).collect()}
     assert got == {w: best(w) for w in words}
 
