@@ -95,10 +95,11 @@ def assign_windows(df: DataFrame, strategy: Strategy, eviction: str = "local") -
     """``df`` (seq, partition_key, watermark_ns and more) with window_id, a number
     from 0 within the key, and window_first_ns, the time of its first arrival.
 
-    eviction: 'local' closes a key's window by that key's records only, which on
-    input in time order is all there is. 'global' lets a record of any key close
-    expired windows of others, as a single ordered pass does; that order is
-    global, so one task makes the pass.
+    eviction: 'local' closes a key's window by that key's records only. 'global' lets
+    a record of any key close expired windows of others, as a single ordered pass
+    does; that order is global, so one task makes the pass. On input in time order
+    both give the same windows for rules that stay true once they are: all but
+    ``Custom`` ones.
     """
     if strategy is None:
         raise ValueError("partition strategy is required")

@@ -5,10 +5,12 @@ arriving time, window number) and go to a Parquet sink with it at once. Nothing
 is held back: windows are put together from the sink, closed ones while the
 stream runs, the open rest when it is flushed. State and sink survive in the
 checkpoint; a restart with the same folder goes on where the last run stopped.
+A flush closes windows for good: each key's next record opens a new one.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,24 +18,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..model import RECORD
 from ..operators.windows import apply_handler, window_info
 from ..plans.strategy import Strategy
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "first_ns", "last_ns", "window_id")])
+STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "first_ns", "last_ns", "window_id", "flushes")])
 
 
 class _Windows(StatefulProcessor):
-    """Numbers a key's windows as its records arrive."""
+    """Numbers a key's windows as its records arrive. A window that was open at a
+    flush, of which there have been ``flushes``, is closed."""
 
-    def __init__(self, strategy: Strategy, columns: list[str]):
-        self.strategy, self.columns = strategy, columns
+    def __init__(self, strategy: Strategy, columns: list[str], flushes: int = 0):
+        self.strategy, self.columns, self.flushes = strategy, columns, flushes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("window", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n, first, last, window = self.state.get() if self.state.exists() else (0, 0, 0, -1)
+        n, first, last, window, flushes = self.state.get() if self.state.exists() else (0, 0, 0, -1, 0)
+        n = n if flushes == self.flushes else 0
         # A batch's rows come in any order.
         for r in sorted(rows, key=lambda r: r["seq"]):
             now = r["watermark_ns"]
@@ -41,47 +46,78 @@ class _Windows(StatefulProcessor):
                 n, first, window = 0, now, window + 1
             n, last = n + 1, now
             yield Row(**{c: r[c] for c in self.columns}, window_id=window, window_first_ns=first)
-        self.state.update((n, first, last, window))
+        self.state.update((n, first, last, window, self.flushes))
 
     def close(self) -> None:
         pass
 
 
-def assign_stream(records: DataFrame, strategy: Strategy) -> DataFrame:
+def assign_stream(records: DataFrame, strategy: Strategy, flushes: int = 0) -> DataFrame:
     """A stream of records with window_id and window_first_ns. Late records are
     never dropped: they join their key's open window or open its next one."""
     spark = records.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    schema = T.StructType([*records.schema, T.StructField("window_id", T.LongType()), T.StructField("window_first_ns", T.LongType())])
-    return records.groupBy("partition_key").transformWithState(_Windows(strategy, records.columns), schema, "Append", "None")
+    return records.groupBy("partition_key").transformWithState(_Windows(strategy, records.columns, flushes), _assigned_schema(records.schema), "Append", "None")
+
+
+def _assigned_schema(records: T.StructType) -> T.StructType:
+    return T.StructType([*records, T.StructField("window_id", T.LongType()), T.StructField("window_first_ns", T.LongType())])
 
 
 class Engine:
     """Cuts a stream into windows and hands finished ones to a handler.
 
     folder: a shared folder for sink, checkpoint and the log of handled windows.
+    poll_seconds: between looks for new records and for closed windows.
+    max_windows: most windows that one pass hands to the handler; None for all.
+    Windows of a pass are handled in parallel, as many at a time as there are cores.
     """
 
-    def __init__(self, spark: SparkSession, strategy: Strategy, folder: str, poll_seconds: float = 5.0, handler: Callable | None = None, handler_schema: str | None = None):
+    def __init__(self, spark: SparkSession, strategy: Strategy, folder: str, poll_seconds: float = 5.0, handler: Callable | None = None, handler_schema: str | None = None, max_windows: int | None = None):
         if strategy is None:
             raise ValueError("partition strategy is required")
-        self.spark, self.strategy, self.poll_seconds = spark, strategy, poll_seconds
-        self.sink, self.checkpoint, self.done, self.results = (f"{folder.rstrip('/')}/{x}" for x in ("assigned", "checkpoint", "handled", "results"))
+        if poll_seconds <= 0 or max_windows is not None and max_windows <= 0:
+            raise ValueError("poll_seconds and max_windows must be greater than 0")
+        self.spark, self.strategy, self.poll_seconds, self.max_windows = spark, strategy, poll_seconds, max_windows
+        self.sink, self.checkpoint, self.done, self.results, self.flushed = (f"{folder.rstrip('/')}/{x}" for x in ("assigned", "checkpoint", "handled", "results", "flushes"))
         self.handler, self.handler_schema = handler, handler_schema
+        self.schema = _assigned_schema(RECORD)
         self.query: StreamingQuery | None = None
+        self.failures: list[Exception] = []
+        self._passes, self._stopped, self._poller = threading.Lock(), threading.Event(), None
 
     def ingest(self, records: DataFrame, available_now: bool = False) -> StreamingQuery:
         """Start, or go on after a stop or failure: what was taken in before isn't taken in again."""
-        self.schema = assign_stream(records, self.strategy).schema
-        writer = assign_stream(records, self.strategy).writeStream.format("parquet").outputMode("append").option("checkpointLocation", self.checkpoint)
+        self.schema = _assigned_schema(records.schema)
+        writer = assign_stream(records, self.strategy, self._flushes()).writeStream.format("parquet").outputMode("append").option("checkpointLocation", self.checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{self.poll_seconds} seconds")
         self.query = writer.start(self.sink)
         return self.query
 
+    def start(self, records: DataFrame) -> StreamingQuery:
+        """Take records in and run the handler on closed windows, at once and then
+        every ``poll_seconds``, until ``stop``. A pass that fails at once is raised;
+        a later failure is kept in ``failures``, and its windows are tried again."""
+        self.process()
+        query = self.ingest(records)
+        self._stopped.clear()
+        self._poller = threading.Thread(target=self._poll, daemon=True)
+        self._poller.start()
+        return query
+
+    def _poll(self) -> None:
+        while not self._stopped.wait(self.poll_seconds):
+            try:
+                self.process()
+            except Exception as e:
+                self.failures.append(e)
+
     def assigned(self) -> DataFrame:
         """All records so far with their windows."""
-        return self.spark.read.parquet(self.sink)
+        if not self._exists(f"{self.sink}/_spark_metadata"):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.sink)
 
     def windows(self) -> DataFrame:
         """All windows so far; the last one of each key is still open."""
@@ -97,27 +133,50 @@ class Engine:
         """
         if self.handler is None:
             return None
+        if flush and self.query is not None and self.query.isActive:
+            raise RuntimeError("windows are flushed once the stream has stopped")
+        with self._passes:  # a window is never in two passes at once
+            if flush:
+                # First: a window that is handled must not take in later records.
+                self.spark.range(1).write.mode("append").parquet(self.flushed)
+            while self._pass(flush):
+                pass
+        return self.spark.read.schema(self.handler_schema).parquet(self.results) if self._exists(self.results) else self.spark.createDataFrame([], self.handler_schema)
+
+    def _pass(self, flush: bool) -> bool:
+        """Handle what is closed, at most ``max_windows``; whether there may be more."""
         assigned = self.assigned()
-        todo = self.windows().where(F.lit(flush) | (F.col("close_reason") == "rotated")).select("partition_key", "window_id")
+        todo = window_info(assigned).where(F.lit(flush) | (F.col("close_reason") == "rotated")).select("partition_key", "window_id")
         if self._exists(self.done):
             todo = todo.join(self.spark.read.parquet(self.done), ["partition_key", "window_id"], "left_anti")
+        if self.max_windows is not None:
+            todo = todo.orderBy("window_id", "partition_key").limit(self.max_windows)
         todo = todo.persist()
         try:
+            if todo.isEmpty():
+                return False
             rows = apply_handler(assigned.join(todo, ["partition_key", "window_id"], "left_semi"), self.handler, self.handler_schema)
             rows.write.mode("append").parquet(self.results)
             todo.write.mode("append").parquet(self.done)
         finally:
             todo.unpersist()
-        return self.spark.read.parquet(self.results)
+        return self.max_windows is not None
 
     def stop(self, flush: bool = True) -> None:
-        """Stop taking records in, and handle what is left."""
+        """Stop taking records in, wait for the pass that is under way, and handle what is left."""
+        self._stopped.set()
+        if self._poller is not None:
+            self._poller.join()
+            self._poller = None
         if self.query is not None:
             self.query.stop()
             self.query = None
         if flush:
             self.process(flush=True)
 
+    def _flushes(self) -> int:
+        return self.spark.read.parquet(self.flushed).count() if self._exists(self.flushed) else 0
+
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)

@@ -73,3 +73,32 @@ def test_failed_window_is_handled_again(spark, tmp_path):
     e.handler = make_handler()
     assert results(e.process()) == [("k", 0, "0,1")]
     assert e.windows().where(F.col("close_reason") == "open").count() == 1
+
+
+def test_records_after_a_flush_are_handled_once(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    engine(spark, folder, Count(2)).stop()  # nothing has come yet
+    stream = None
+    for rows in (["a", "b", "c"], ["d", "e"], ["f"]):
+        write(spark, [(ord(x), x, "k", ord(x), "") for x in rows], source)
+        stream = stream or spark.readStream.schema(SCHEMA).json(source)
+        e = engine(spark, folder, Count(2))
+        e.ingest(stream, available_now=True).awaitTermination()
+        e.stop()
+    assert results(e.process()) == [("k", 0, "a,b"), ("k", 1, "c"), ("k", 2, "d,e"), ("k", 3, "f")]
+
+
+def test_polling(spark, tmp_path):
+    import time
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    write(spark, [(i, f"{i:02}", "k", i, "") for i in range(9)], source)
+    e = Engine(spark, Count(2), folder, 0.5, make_handler(), "partition_key string, window_id long, ids string", max_windows=3)
+    e.start(spark.readStream.schema(SCHEMA).json(source))
+    end = time.time() + 60
+    while time.time() < end and not (e._exists(e.results) and spark.read.schema(e.handler_schema).parquet(e.results).count() >= 4):
+        time.sleep(0.5)
+    e.stop(flush=False)
+    assert not e.failures and [r[1:] for r in results(e.process())] == [(i, f"{2 * i:02},{2 * i + 1:02}") for i in range(4)]
+    with pytest.raises(ValueError, match="greater than 0"):
+        Engine(spark, Count(1), folder, max_windows=0)

@@ -62,7 +62,7 @@ def test_any_of():
 
 def test_strategy_is_required(spark):
     with pytest.raises(ValueError, match="partition strategy is required"):
-        assign_windows(frame(spark, [("a", 0)]), None)
+        assign_windows(frame(spark, [("a", 0.0)]), None)
 
 
 STRATEGIES = [Count(3), Count(0), Never(), AnyOf(), Time.of(seconds=10), AnyOf(Time.of(seconds=10), Count(3)), Custom(lambda n, first, now: n >= 2 and now % 3 == 0)]
@@ -77,7 +77,8 @@ def test_random_streams_equal_the_model(spark, eviction):
             rows = [(rng.choice("abc"), float(t)) for t in (sorted(times) if in_order else times)]
             got = assigned(spark, rows, strategy, eviction)
             assert got == model(rows, strategy, eviction)
-            if in_order:
+            # A rule that once true stays true closes the same windows either way; others needn't.
+            if in_order and not isinstance(strategy, Custom):
                 assert [g[:2] for g in got] == [m[:2] for m in model(rows, strategy, "local")]
 
 
