@@ -117,14 +117,23 @@ def _flatten(node, depth: int, at: int, tests: list, leaves: list) -> None:
     _flatten(right, depth + 1, 2 * at + 2, tests, leaves)
 
 
-def train(findings: DataFrame) -> list[tuple[list[int], list[float], list[float]]]:
-    """The trees of a forest fitted to labelled findings: features and thresholds of the tests, and leaves."""
+def fit_forest(findings: DataFrame):
+    """pyspark.ml's forest for labelled findings."""
     from pyspark.ml.classification import RandomForestClassifier
+
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=5)
+    return forest.fit(feature_table(findings).coalesce(1))
+
+
+def feature_table(findings: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     seen = features(F.col("candidate"), F.col("before"), F.col("path"))
-    table = findings.select(array_to_vector(F.array(*[f.cast("double") for f in seen])).alias("features"), "label")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=5).fit(table.coalesce(1))
+    return findings.select(array_to_vector(F.array(*[f.cast("double") for f in seen])).alias("features"), "label")
+
+
+def trees_of(forest) -> list[tuple[list[int], list[float], list[float]]]:
+    """A forest's trees: features and thresholds of the tests, and leaves."""
     out = []
     for tree in forest.trees:
         tests: list = [(0, float("inf"))] * (2**DEPTH - 1)
@@ -134,6 +143,11 @@ def train(findings: DataFrame) -> list[tuple[list[int], list[float], list[float]
     return out
 
 
+def train(findings: DataFrame) -> list[tuple[list[int], list[float], list[float]]]:
+    """The trees of a forest fitted to labelled findings."""
+    return trees_of(fit_forest(findings))
+
+
 def score(seen: Column, trees: list[tuple[list[int], list[float], list[float]]]) -> Column:
     """The forest's mean probability for an array of features."""
 
@@ -148,25 +162,56 @@ def score(seen: Column, trees: list[tuple[list[int], list[float], list[float]]])
     return total / len(trees)
 
 
-def _findings(text: Column, path: Column, judge: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """The pieces of a text between candidates, and the candidates as structs."""
-    gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, i: F.struct((a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("at"), F.array_append(a["starts"], a["at"] + F.length(F.get(gaps, i))).alias("starts")),
-        lambda a: a["starts"],
-    )
+#: Numbers that are summed up one after another.
+_RUN = 256
+
+
+def _running(sizes: Column) -> Column:
+    """The sum of all numbers before each of ``sizes``. Appending to an array copies
+    it, so sums are made within runs and over the runs' totals."""
+
+    def sums(values: Column, first: Column) -> Column:
+        add = lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["sums"], a["at"]).alias("sums"))
+        return F.aggregate(values, F.struct(first.alias("at"), F.array().cast("array<int>").alias("sums")), add, lambda a: a["sums"])
+
+    def whole(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda i: F.slice(v, i * _RUN + 1, F.lit(_RUN)))
+        totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), sums(totals, F.lit(0)).alias("first")), lambda z: sums(z["run"], z["first"])))
 
-    def finding(start: Column, i: Column) -> Column:
-        candidate = F.get(found, i)
-        before = text.substr(F.greatest(start - BEFORE_CHARS, F.lit(0)) + 1, F.least(start, F.lit(BEFORE_CHARS)))
-        seen = F.transform(F.array(*[f.cast("double") for f in features(candidate, before, path)]), lambda x: x)
-        kind = F.when(candidate.rlike(ISSUED), "issued").when(candidate.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("token")
-        # The one-element array names the features, which the trees read again and again.
-        return F.struct(start.alias("start"), (start + F.length(candidate)).alias("end"), kind.alias("kind"), candidate.alias("candidate"), F.get(F.transform(F.array(seen), judge), 0).alias("score"))
+    return _named(sizes, whole)
 
-    return gaps, F.transform(starts, finding)
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: a lambda's body would do so for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _findings(text: Column, path: Column, judge: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """The pieces of a text between candidates, and the candidates as structs. Time
+    is in proportion to the text: what stands before a candidate is put together
+    from the pieces around it, not cut out of the text."""
+    gaps = F.split(text, CANDIDATE, -1)
+    both = F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    # Candidates have 12 characters and one between them at least.
+    back = BEFORE_CHARS // 13 + 1
+
+    def every(x: Column) -> Column:
+        sizes = F.transform(F.arrays_zip(x["gaps"], x["found"]), lambda z: F.length(z["gaps"]) + F.coalesce(F.length(z["found"]), F.lit(0)))
+
+        def finding(z: Column, i: Column) -> Column:
+            candidate = z["found"]
+            near = [c for k in range(back, 0, -1) for c in (F.right(F.get(x["gaps"], i - k), F.lit(BEFORE_CHARS)), F.right(F.get(x["found"], i - k), F.lit(BEFORE_CHARS)))]
+            before = F.right(F.concat_ws("", *near, F.right(z["gaps"], F.lit(BEFORE_CHARS))), F.lit(BEFORE_CHARS))
+            start = z["start"] + F.length(z["gaps"])
+            seen = _named(before, lambda b: F.array(*[f.cast("double") for f in features(candidate, b, path)]))
+            kind = F.when(candidate.rlike(ISSUED), "issued").when(candidate.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("token")
+            return F.struct(start.alias("start"), (start + F.length(candidate)).alias("end"), kind.alias("kind"), candidate.alias("candidate"), _named(seen, judge).alias("score"))
+
+        zipped = F.arrays_zip(x["gaps"].alias("gaps"), x["found"].alias("found"), _running(sizes).alias("start"))
+        return F.transform(F.slice(zipped, F.lit(1), F.size(x["found"])), finding)
+
+    return gaps, _named(both, every)
 
 
 def scan(docs: DataFrame, trees: list | None = None, text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:

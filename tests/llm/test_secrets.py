@@ -49,3 +49,30 @@ def test_forest_on_findings_it_has_not_seen(spark):
 def test_all_planted_tokens(spark, documents):
     planted = documents.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count()
     assert secrets.findings(documents).where("is_secret and end - start = 40").select("doc_id").distinct().count() == planted
+
+
+def test_scores_are_those_of_the_library(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    found = secrets.labelled_findings(spark, 1500)
+    forest = secrets.fit_forest(found)
+    own = secrets.score(vector_to_array("features"), secrets.trees_of(forest))
+    rows = forest.transform(secrets.feature_table(found)).select(own.alias("own"), vector_to_array("probability")[1].alias("theirs")).collect()
+    assert max(abs(r.own - r.theirs) for r in rows) < 1e-9 and len({r.own for r in rows}) > 10
+
+
+def test_many_candidates_in_one_text(spark):
+    """Starts and what stands before, against the text itself; in time in proportion to it."""
+    import hashlib
+    import time
+
+    parts = [f"{'token = ' if i % 3 else ''}{hashlib.sha1(str(i).encode()).hexdigest()[:12 + i % 29]}{' ' * (1 + i % 50)}é" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "".join(parts), "src")], "doc_id long, text string, source string")
+    trees = secrets.train(secrets.labelled_findings(spark, 500))
+    began = time.time()
+    rows = secrets.findings(docs, trees).orderBy("place").collect()
+    assert time.time() - began < 60
+    import re
+
+    want = [(m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest()) for m in re.finditer(secrets.CANDIDATE, "".join(parts))]
+    assert [(r.start, r.end, r.sha256) for r in rows] == want
