@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,24 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/streamwin-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What is there when the driver ends goes with it."""
+    path = f"{shared_dir(spark).rstrip('/')}/streamwin-{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
-#: Whether Spark deletes a query's shuffle files when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def kept_aside(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: it is computed once,
     and a lost executor takes nothing of it along. Its shuffle files go at once."""
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = scratch(spark, name)
+    with kept_aside(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +65,11 @@ def forget(df: DataFrame) -> None:
         remove(df.sparkSession, folder)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import LONGEST_KEY, MOST_UNITS, Ragged, as_bytes, distinct_units, listed, make_blocks, ragged, with_values
+from .blocks import LONGEST_KEY, MOST_UNITS, Ragged, as_bytes, distinct_units, joined_values, make_blocks, ragged, with_values
 from .common import forget, map_rows, stored, texts
 
 #: The sign that stands for a space in pieces.
@@ -279,20 +280,34 @@ def _by_library(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return map_rows(units, make, "key string, unit string, ids array<int>")
 
 
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_units: int, columns: Callable[..., list[pa.Array]], schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``schema`` by ``columns(head, ids)``, given groups of documents and their ids."""
+    units, documents = make_blocks(texts(docs, id_col, text_col), make_splitter(vocabulary), most_units)
+    width = 2 if len(vocabulary.pieces) <= 1 << 16 else 4
+    known = stored(encode_units(units, vocabulary).select("key", as_bytes("ids", width).alias("value")), "units")
+    found = joined_values(units, known)
+    forget(known)
+    forget(units)
+
+    def each(values: Ragged, head: pa.RecordBatch, numbers: np.ndarray, times: np.ndarray) -> list[pa.Array]:
+        ends = np.concatenate([[0], np.cumsum(values.sizes[numbers])])[np.cumsum(head.column("n_units").to_numpy())]
+        return columns(head, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.take(numbers), pa.int32())))
+
+    return with_values(documents, found, partial(ragged, width=width), each, schema)
+
+
+def _schema(docs: DataFrame, id_col: str, columns: str) -> T.StructType:
+    return T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string(columns)])
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, most_units: int = MOST_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_units, ids and crc32 (of the text) of each row of ``docs``."""
-    blocks = make_blocks(texts(docs, id_col, text_col), make_splitter(vocabulary), most_units)
-    units = stored(encode_units(listed(blocks), vocabulary).select("key", as_bytes("ids").alias("value")), "units")
-    found = stored(listed(blocks).select("key", "at").join(units, "key").select("at", "value"), "pieces")
-    forget(units)
+    schema = _schema(docs, id_col, "n_bytes long, n_units long, ids array<int>, crc32 long")
 
-    def each(values: Ragged, numbers: np.ndarray, times: np.ndarray, n_units: np.ndarray) -> list[pa.Array]:
-        ends = np.concatenate([[0], np.cumsum(values.sizes[numbers])])[np.cumsum(n_units)]
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.take(numbers), pa.int32()))
-        return [pa.array(n_units), ids]
+    def columns(head: pa.RecordBatch, ids: pa.Array) -> list[pa.Array]:
+        return [*head.columns[:3], ids, head.column("crc32")]
 
-    fields = [("doc_id", docs.schema[id_col].dataType), ("n_bytes", T.LongType()), ("n_units", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("crc32", T.LongType())]
-    return with_values(blocks, found, ragged, each, T.StructType([T.StructField(*f) for f in fields]))
+    return _encoded(docs, vocabulary, most_units, columns, schema, id_col, text_col)
 
 
 def make_decoder(vocabulary: Vocabulary) -> Callable[[], Callable[[np.ndarray], bytes]]:
@@ -329,29 +344,24 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
     return map_rows(encoded.select(id_col, ids_col), make, f"doc_id {kind}, text string")
 
 
-def encoded_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encoded_digests(docs: DataFrame, vocabulary: Vocabulary, most_units: int = MOST_UNITS) -> DataFrame:
     """doc_id, n_bytes, n_units, n_tokens, ids, and of the decoded ids: text_bytes
     and text_crc32, and decoded_equal, whether they are those of the text that was encoded."""
-    import zlib
+    maker = make_decoder(vocabulary)
+    decoders: list[Callable[[np.ndarray], bytes]] = []
 
-    import pyarrow.compute as pc
+    def columns(head: pa.RecordBatch, ids: pa.Array) -> list[pa.Array]:
+        import zlib
 
-    maker = make_decoder(vocabulary)
-    marked = encode(docs, vocabulary)
+        import pyarrow.compute as pc
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = maker()
-        for b in batches:
-            ids = b.column("ids")
-            values, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
-            decoded = [text(values[lo:hi]) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            sizes = pa.array([len(x) for x in decoded], pa.int64())
-            checks = pa.array([zlib.crc32(x) for x in decoded], pa.int64())
-            equal = pc.and_(pc.equal(sizes, b.column("n_bytes")), pc.equal(checks, b.column("crc32")))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_bytes"), b.column("n_units"), pa.array(np.diff(cuts), pa.int64()), ids, sizes, checks, equal],
-                ["doc_id", "n_bytes", "n_units", "n_tokens", "ids", "text_bytes", "text_crc32", "decoded_equal"],
-            )
-
-    kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_units long, n_tokens long, ids array<int>, text_bytes long, text_crc32 long, decoded_equal boolean")
+        if not decoders:
+            decoders.append(maker())
+        values, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
+        decoded = [decoders[0](values[lo:hi]) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        sizes, checks = (pa.array([f(x) for x in decoded], pa.int64()) for f in (len, zlib.crc32))
+        equal = pc.and_(pc.equal(sizes, head.column("n_bytes")), pc.equal(checks, head.column("crc32")))
+        return [*head.columns[:3], pa.array(np.diff(cuts), pa.int64()), ids, sizes, checks, equal]
+
+    schema = _schema(docs, "doc_id", "n_bytes long, n_units long, n_tokens long, ids array<int>, text_bytes long, text_crc32 long, decoded_equal boolean")
+    return _encoded(docs, vocabulary, most_units, columns, schema)

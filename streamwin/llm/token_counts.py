@@ -18,10 +18,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import MOST_UNITS, distinct_units, listed, make_blocks, plain, with_values
+from .blocks import MOST_UNITS, distinct_units, joined_values, make_blocks, plain, with_values
 from .common import forget, stored, texts
 
 #: How the vocabulary's file changes and splits texts.
@@ -80,7 +79,7 @@ def make_splitter(path: str) -> Callable[[], Callable[[str], list[str]]]:
 
 
 def count_pieces(units: DataFrame, path: str) -> DataFrame:
-    """key and pieces, the number of each distinct unit of ``units`` (key, unit)."""
+    """key and value, the number of pieces, of each distinct unit of ``units`` (key, unit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task has one core.
@@ -92,23 +91,24 @@ def count_pieces(units: DataFrame, path: str) -> DataFrame:
             pieces: list[int] = []
             for at in range(0, b.num_rows, 1000):
                 pieces += [len(e.ids) for e in tokenizer.encode_batch_fast(b.column("unit").slice(at, 1000).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(pieces, pa.int64())], ["key", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(pieces, pa.int64())], ["key", "value"])
 
-    return units.mapInArrow(run, "key string, pieces long")
+    return units.mapInArrow(run, "key string, value long")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, most_units: int = MOST_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row of ``docs``."""
-    blocks = make_blocks(texts(docs, id_col, text_col), make_splitter(path), most_units, counted=True)
-    counts = stored(count_pieces(distinct_units(listed(blocks)), path), "pieces")
-    found = stored(listed(blocks).select("key", "at").join(counts, "key").select("at", F.col("pieces").alias("value")), "counts")
+    units, documents = make_blocks(texts(docs, id_col, text_col), make_splitter(path), most_units, counted=True)
+    counts = stored(count_pieces(distinct_units(units), path), "pieces")
+    found = joined_values(units, counts)
     forget(counts)
+    forget(units)
 
-    def each(values: np.ndarray, numbers: np.ndarray, times: np.ndarray, n_units: np.ndarray) -> list[pa.Array]:
-        ends = np.cumsum(n_units)
-        sums = np.concatenate([[0], np.cumsum(values[numbers] * times)])
-        return [pa.array(sums[ends] - sums[ends - n_units])]
+    def each(values: np.ndarray, head: pa.RecordBatch, numbers: np.ndarray, times: np.ndarray) -> list[pa.Array]:
+        n_units = head.column("n_units").to_numpy()
+        ends, sums = np.cumsum(n_units), np.concatenate([[0], np.cumsum(values[numbers] * times)])
+        n_tokens = sums[ends] - sums[ends - n_units]
+        return [head.column("doc_id"), head.column("n_bytes"), pa.array(n_tokens), pa.array(n_tokens > limit)]
 
-    fields = [("doc_id", docs.schema[id_col].dataType), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("crc32", T.LongType())]
-    counted = with_values(blocks, found, plain, each, T.StructType([T.StructField(*f) for f in fields]))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    fields = [("doc_id", docs.schema[id_col].dataType), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
+    return with_values(documents, found, plain, each, T.StructType([T.StructField(*f) for f in fields]))
