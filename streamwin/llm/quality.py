@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
         return lambda doc_id, text, y: [(doc_id, y, statistics(text))]
 
     rows = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, most)
-    rows = map_rows(rows.select("doc_id", "text", "label"), measure, "doc_id long, label int, stats array<double>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = map_rows(rows.select("doc_id", "text", "label"), measure, f"doc_id {kind}, label int, stats array<double>")
     rows = rows.withColumn("calibrates", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(CALIBRATE_EVERY)) == 0).cache()
     try:
         cells = [F.element_at("stats", i + 1) for i in range(STATISTICS)]

@@ -140,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
         return lambda doc_id, text, y: [(doc_id, y, terms(text).tolist())]
 
     rows = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, most)
-    rows = map_rows(rows.select("doc_id", "text", "label"), hashed, "doc_id long, label int, terms array<int>").cache()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = map_rows(rows.select("doc_id", "text", "label"), hashed, f"doc_id {kind}, label int, terms array<int>").cache()
     try:
         n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
         negative = n - positive

@@ -96,3 +96,40 @@ def test_no_language_goes_for_the_sequences_of_another(spark):
     assert len(model.keys[3]) > 0.999 * fitted.agg(F.sum(F.length("text"))).first()[0] > 240_000
     got = language.predictions(docs, model).join(docs, "doc_id").where("held_out and lang = 'small'").collect()
     assert got and all(r.lang_pred == "small" for r in got)
+
+
+def test_machine_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(4)
+    terms = np.arange(10, 40, 2)
+    model = toxicity.Model(terms, -0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), toxicity.RANK)))
+    for size in (0, 1, 2, 7):
+        mine = rng.choice(np.arange(10, 40), size, replace=False)  # some are terms that the model doesn't know
+        known = [int(np.flatnonzero(terms == t)[0]) for t in mine if t in terms]
+        logit = model.bias + sum(model.weights[i] for i in known)
+        logit += sum(float(model.vectors[i] @ model.vectors[j]) for k, i in enumerate(known) for j in known[k + 1 :])
+        assert abs(model.score(np.array(mine, np.int64)) - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_features_approximate_the_kernel_and_sums_solve_the_ridge():
+    rng = np.random.default_rng(5)
+    k, n = quality.STATISTICS, quality.FEATURES
+    directions, phases = rng.standard_normal((k, n)) / np.sqrt(k), rng.uniform(0, 2 * np.pi, n)
+    model = quality.Model(np.zeros(k), np.ones(k), directions, phases, np.zeros(n + 1), np.zeros(1), np.zeros(1))
+    z = rng.normal(size=(40, k))
+    wave = model.features(z)[:, :-1]
+    kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2) / (2 * k))
+    assert np.abs(wave @ wave.T - kernel).mean() < 2 / np.sqrt(n)
+    x, y = rng.normal(size=(200, 6)), rng.random(200)
+    parts = [np.hstack([a, b[:, None]]) for a, b in zip(np.array_split(x, 3), np.array_split(y, 3))]
+    # The same problem with the ridge as further rows, by least squares.
+    rows = np.vstack([x, np.sqrt(quality.RIDGE) * np.eye(6)])
+    want = np.linalg.lstsq(rows, np.concatenate([y, np.zeros(6)]), rcond=None)[0]
+    assert np.allclose(quality._solve((p.T @ p for p in parts), 6), want)
+
+
+def test_ids_may_be_text(spark, big):
+    docs, labels = (t.withColumn("doc_id", F.format_string("d%d", "doc_id")) for t in big)
+    for module in (quality, toxicity):
+        got = module.scores(docs, module.fit(docs, labels))
+        assert got.schema["doc_id"].dataType.simpleString() == "string" and got.count() == docs.count()
+        assert got.where("score > 0.7").count() and got.where("score < 0.3").count()
