@@ -317,7 +317,7 @@ def one_of_each(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_co
     """The rows of ``docs``, all columns, less all but one of each component.
 
     The row of the smallest id stays; of rows with one id that with the smallest
-    hash of its text, and one of rows with equal id and text.
+    hash of its text, and any one of rows with equal id and text (null: empty).
     """
     found = near_duplicates(docs, tau, id_col, text_col, similarity)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
@@ -328,4 +328,7 @@ def one_of_each(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_co
     again = found.join(kept, (found["doc_id"].eqNullSafe(kept["doc_id"])) & (found["text_hash"] == kept["text_hash"]), "left_semi")
     if again.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return out
-    return out.dropDuplicates([id_col, text_col])
+    name = "text_hash"
+    while name in out.columns:
+        name += "_"
+    return out.withColumn(name, text_hash).dropDuplicates([id_col, name]).drop(name)

@@ -80,6 +80,13 @@ def test_one_of_each(spark, odd_docs):
     assert len(rows) == len(set(groups)) and (5, "the same words again and again") in rows and not any(i == 6 for i, _ in rows)
 
 
+def test_rows_of_one_id_with_a_null_and_an_empty_text(spark):
+    rows = [(1, None, "a"), (1, "", "b"), (2, "four words are here", "c"), (2, "four words are here", "d"), (3, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2]
+    assert simhash.one_of_each(docs).columns == docs.columns
+
+
 def test_components_of_a_path_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
