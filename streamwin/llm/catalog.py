@@ -34,12 +34,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as they are read from the store after eight arrivals and compaction."""
+    """All documents, as they are read from the store after they came in eight
+    arrivals, each its own commit, with a look for full tiers after each."""
     docs = _table(spark, sf_dir, "documents")
     store = shards.ShardStore(spark, common.scratch(spark, "shards"))
-    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    store.compact()
-    store.vacuum()
+    for i in range(8):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == i), f"arrival{i}")
+        store.compact()
+        store.vacuum()
     text = F.coalesce("text", F.lit(""))
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 

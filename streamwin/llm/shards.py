@@ -10,15 +10,16 @@ that version is there already: then the change is made again on top of the
 newer version. Readers keep the version they have opened; ``vacuum`` removes
 runs that no kept version names. A job that dies leaves unnamed files at most.
 
-An arrival that was appended before, by its name, is not appended again. Rows
-are kept as they are: nulls, repeated rows and any further columns. An empty
-arrival is a run without files.
+An arrival that was appended before, by its name, is not appended again; one
+whose name is null or empty is an error. Rows are kept as they are: nulls,
+repeated rows and any further columns. An empty arrival leaves no run.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from collections.abc import Callable
 
@@ -30,6 +31,10 @@ from pyspark.sql import types as T
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 ARRIVAL = "streamwin_arrival"
+#: Fixed value: the folder name that Spark gives to a null or empty partition value.
+NAMELESS = "__HIVE_DEFAULT_PARTITION__"
+#: Hours after which files that no manifest names are taken for those of a dead job.
+ORPHAN_HOURS = 24.0
 
 
 class ShardStore:
@@ -102,10 +107,16 @@ class ShardStore:
     def append(self, rows: DataFrame, arrival: Column | str) -> dict:
         """Append ``rows``: each value of ``arrival`` (a column, or one name for all) is an arrival and becomes a run."""
         arrival = F.lit(arrival) if isinstance(arrival, str) else arrival
+        column = ARRIVAL
+        while column in rows.columns:
+            column += "_"
         batch = f"{self.root}/runs/{uuid.uuid4().hex}"
-        rows.withColumn(ARRIVAL, arrival.cast("string")).write.partitionBy(ARRIVAL).parquet(batch)
-        folders = [s.getPath() for s in self._fs.listStatus(self._path(batch)) if s.isDirectory() and s.getPath().getName().startswith(ARRIVAL)]
+        rows.withColumn(column, arrival.cast("string")).write.partitionBy(column).parquet(batch)
+        folders = [s.getPath() for s in self._fs.listStatus(self._path(batch)) if s.isDirectory() and s.getPath().getName().startswith(f"{column}=")]
         found = {f.getName().partition("=")[2]: self._run(f.toString()) for f in folders}
+        if NAMELESS in found:
+            self._fs.delete(self._path(batch), True)
+            raise ValueError("an arrival's name is null or empty")
 
         def change(manifest: dict) -> dict | None:
             schema = json.loads(rows.schema.json())
@@ -158,8 +169,12 @@ class ShardStore:
 
             self._commit(change)
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete all but the newest manifests and the runs that only those name; how many runs went."""
+    def vacuum(self, keep_versions: int = 1, orphan_hours: float = ORPHAN_HOURS) -> int:
+        """Delete all but the newest manifests and the runs that only those name; how many runs went.
+
+        Folders of runs and drafts of manifests that nothing names and nobody has
+        changed for ``orphan_hours`` go as well: their jobs have died.
+        """
         versions = self.versions()
         old, kept = versions[:-keep_versions], versions[-keep_versions:]
         live = {r["path"] for v in kept for r in self.manifest(v)["runs"]}
@@ -168,8 +183,20 @@ class ShardStore:
             self._fs.delete(self._path(self._manifest(v)), False)
         for path in gone:
             self._fs.delete(self._path(path), True)
+        named = {p.rpartition("/runs/")[2].partition("/")[0] for p in live}
+        before = (time.time() - orphan_hours * 3600) * 1000
+        for folder in ("runs", "drafts"):
+            if self._fs.exists(self._path(f"{self.root}/{folder}")):
+                for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")):
+                    if s.getPath().getName() not in named and self._newest(s) <= before:
+                        self._fs.delete(s.getPath(), True)
         return len(gone)
 
+    def _newest(self, status) -> int:
+        """When anything in a file or folder last changed."""
+        below = self._fs.listStatus(status.getPath()) if status.isDirectory() else []
+        return max([status.getModificationTime(), *map(self._newest, below)])
+
     # -- reading -----------------------------------------------------------
 
     def read(self, version: int | None = None) -> DataFrame:

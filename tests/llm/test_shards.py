@@ -58,3 +58,24 @@ def test_compaction_of_runs_that_went_meanwhile(spark, odd_docs, tmp_path):
 
 def test_query_equals_sql(spark, sf_dir, same_as_sql):
     same_as_sql(catalog.op4_compaction(spark, sf_dir), oracles.COMPACTION)
+
+
+def test_arrivals_without_a_name_and_clashing_columns(spark, odd_docs, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"))
+    for name in (F.col("source"), F.lit("")):  # one source is null
+        with pytest.raises(ValueError, match="null or empty"):
+            store.append(odd_docs, name)
+    assert store.versions() == []
+    mine = odd_docs.withColumn("streamwin_arrival", F.col("doc_id"))
+    store.append(mine, "day0")
+    assert rows(store.read()) == rows(mine)
+
+
+def test_vacuum_takes_what_dead_jobs_left(spark, odd_docs, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"))
+    store.append(odd_docs, "day0")
+    odd_docs.write.parquet(str(tmp_path / "s" / "runs" / "dead"))
+    store.vacuum()  # it may still be written
+    assert (tmp_path / "s" / "runs" / "dead").exists()
+    store.vacuum(orphan_hours=0)
+    assert not (tmp_path / "s" / "runs" / "dead").exists() and rows(store.read()) == rows(odd_docs)
