@@ -25,6 +25,9 @@ FOLDS, HELD_OUT = 4, 2
 ORDER = 4
 #: Documents of each language that a model is fitted on, at most, and of all languages.
 MOST_DOCS, MOST_DOCS_IN_ALL = 600, 60_000
+#: Up to so many languages their sizes are broadcast, so that documents are thinned
+#: out before they are dealt out by language; beyond it they are joined by shuffle.
+MOST_LANGUAGES = 10_000
 #: One sampled document in so many calibrates.
 CALIBRATE_EVERY = 6
 #: Characters of the pieces of calibrating documents that calibrate the score as well.
@@ -185,7 +188,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     named = named.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     # About twice as many as needed, by hash: no task ranks all documents of a language.
     sizes = named.groupBy("lang").agg(F.count("*").alias("size"))
-    near = named.select("doc_id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("size") < F.lit(2 * MOST_DOCS * (1 << 30)))
+    few = sizes.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+    near = named.select("doc_id", "lang").join(F.broadcast(sizes) if few else sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("size") < F.lit(2 * MOST_DOCS * (1 << 30)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = near.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_DOCS)
     chosen = chosen.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MOST_DOCS_IN_ALL)
