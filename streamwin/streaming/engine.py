@@ -1,16 +1,18 @@
 """The streaming engine: records in, windows out, handlers run once a window is closed.
 
 A stream's records get their window from per-key state (count, first and last
-arriving time, window number) and go to a Parquet sink with it at once. Nothing
-is held back: windows are put together from the sink, closed ones while the
-stream runs, the open rest when it is flushed. State and sink survive in the
-checkpoint; a restart with the same folder goes on where the last run stopped.
-A flush closes windows for good: each key's next record opens a new one.
+arriving time, window number) and go to a Parquet sink with it at once, a folder
+a batch. Nothing is held back: windows are put together from the sink, closed ones
+while the stream runs, the open rest when it is flushed. State and sink survive in
+the checkpoint; a restart with the same folder goes on where the last run stopped.
+A flush closes windows for good: each key's next record opens a new one. A purge
+takes the rows of handled windows out of the sink.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -25,6 +27,8 @@ from ..plans.strategy import Strategy
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "first_ns", "last_ns", "window_id", "flushes")])
 
+PURGE = "number long, through long, kept string"
+
 
 class _Windows(StatefulProcessor):
     """Numbers a key's windows as its records arrive. A window that was open at a
@@ -71,16 +75,18 @@ class Engine:
     folder: a shared folder for sink, checkpoint and the log of handled windows.
     poll_seconds: between looks for new records and for closed windows.
     max_windows: most windows that one pass hands to the handler; None for all.
+    delete_handled: purge after each call that has handled windows.
     Windows of a pass are handled in parallel, as many at a time as there are cores.
     """
 
-    def __init__(self, spark: SparkSession, strategy: Strategy, folder: str, poll_seconds: float = 5.0, handler: Callable | None = None, handler_schema: str | None = None, max_windows: int | None = None):
+    def __init__(self, spark: SparkSession, strategy: Strategy, folder: str, poll_seconds: float = 5.0, handler: Callable | None = None, handler_schema: str | None = None, max_windows: int | None = None, delete_handled: bool = False):
         if strategy is None:
             raise ValueError("partition strategy is required")
         if poll_seconds <= 0 or max_windows is not None and max_windows <= 0:
             raise ValueError("poll_seconds and max_windows must be greater than 0")
         self.spark, self.strategy, self.poll_seconds, self.max_windows = spark, strategy, poll_seconds, max_windows
-        self.sink, self.checkpoint, self.done, self.results, self.flushed = (f"{folder.rstrip('/')}/{x}" for x in ("assigned", "checkpoint", "handled", "results", "flushes"))
+        self.sink, self.checkpoint, self.done, self.results, self.flushed, self.purged = (f"{folder.rstrip('/')}/{x}" for x in ("assigned", "checkpoint", "handled", "results", "flushes", "purges"))
+        self.delete_handled = delete_handled
         self.handler, self.handler_schema = handler, handler_schema
         self.schema = _assigned_schema(RECORD)
         self.query: StreamingQuery | None = None
@@ -90,11 +96,19 @@ class Engine:
     def ingest(self, records: DataFrame, available_now: bool = False) -> StreamingQuery:
         """Start, or go on after a stop or failure: what was taken in before isn't taken in again."""
         self.schema = _assigned_schema(records.schema)
-        writer = assign_stream(records, self.strategy, self._flushes()).writeStream.format("parquet").outputMode("append").option("checkpointLocation", self.checkpoint)
+        writer = assign_stream(records, self.strategy, self._flushes()).writeStream.foreachBatch(self._write).outputMode("append").option("checkpointLocation", self.checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{self.poll_seconds} seconds")
-        self.query = writer.start(self.sink)
+        self.query = writer.start()
         return self.query
 
+    def _write(self, batch: DataFrame, number: int) -> None:
+        folder = f"{self.sink}/batch-{number}"
+        if number <= self._purge_record()[1] or self._exists(f"{folder}/_SUCCESS"):
+            # A batch that is run again after a failure has the same rows; only its state is wanted.
+            batch.write.format("noop").mode("overwrite").save()
+        else:
+            batch.write.mode("overwrite").parquet(folder)
+
     def start(self, records: DataFrame) -> StreamingQuery:
         """Take records in and run the handler on closed windows, at once and then
         every ``poll_seconds``, until ``stop``. A pass that fails at once is raised;
@@ -114,13 +128,14 @@ class Engine:
                 self.failures.append(e)
 
     def assigned(self) -> DataFrame:
-        """All records so far with their windows."""
-        if not self._exists(f"{self.sink}/_spark_metadata"):
+        """All records so far with their windows, less those that were purged."""
+        folders = self._folders()
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.sink)
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
     def windows(self) -> DataFrame:
-        """All windows so far; the last one of each key is still open."""
+        """All windows that are in the sink; the last one of each key is still open."""
         return window_info(self.assigned())
 
     def process(self, flush: bool = False) -> DataFrame | None:
@@ -139,12 +154,57 @@ class Engine:
             if flush:
                 # First: a window that is handled must not take in later records.
                 self.spark.range(1).write.mode("append").parquet(self.flushed)
-            while self._pass(flush):
-                pass
+            handled = 0
+            while n := self._pass(flush):
+                handled += n
+                if self.max_windows is None:
+                    break
+        if handled and self.delete_handled:
+            self.purge()
         return self.spark.read.schema(self.handler_schema).parquet(self.results) if self._exists(self.results) else self.spark.createDataFrame([], self.handler_schema)
 
-    def _pass(self, flush: bool) -> bool:
-        """Handle what is closed, at most ``max_windows``; whether there may be more."""
+    def purge(self) -> None:
+        """Delete the rows of handled windows and the log of those windows.
+
+        The rest of the finished batches is written anew; a record of the last batch in
+        it takes the place of the old folders, which go then. A purge that dies
+        before the record has done nothing, and one that dies after it is made good by
+        the next. Frames that were read before may no longer be read.
+        """
+        with self._passes:
+            number, through, before = self._purge_record()
+            folders, batches = self._folders(), self._batches()
+            if not folders or not self._exists(self.done):
+                return
+            kept = f"kept-{uuid.uuid4().hex}"
+            # A handled window is closed: all its rows are in finished batches.
+            handled = self.spark.read.parquet(self.done).distinct()
+            self.spark.read.schema(self.schema).parquet(*folders).join(handled, ["partition_key", "window_id"], "left_anti").write.parquet(f"{self.sink}/{kept}")
+            record = (number + 1, max([through, *batches]), kept)
+            self.spark.createDataFrame([record], PURGE).coalesce(1).write.mode("append").parquet(self.purged)
+            for name in self._names(self.sink):
+                if name != kept and (name.startswith("kept-") or name.startswith("batch-") and int(name[6:]) <= record[1]):
+                    self._delete(f"{self.sink}/{name}")
+            self._delete(self.done)
+
+    def _purge_record(self) -> tuple[int, int, str | None]:
+        """Number of the last purge, the last batch in it, and the folder of what it kept."""
+        if not self._exists(self.purged):
+            return 0, -1, None
+        return tuple(self.spark.read.schema(PURGE).parquet(self.purged).orderBy(F.desc("number")).first())
+
+    def _batches(self) -> list[int]:
+        """Finished batches that no purge has taken."""
+        through = self._purge_record()[1]
+        numbers = sorted(int(n[6:]) for n in self._names(self.sink) if n.startswith("batch-"))
+        return [n for n in numbers if n > through and self._exists(f"{self.sink}/batch-{n}/_SUCCESS")]
+
+    def _folders(self) -> list[str]:
+        kept = self._purge_record()[2]
+        return [f"{self.sink}/{n}" for n in ([kept] if kept else []) + [f"batch-{n}" for n in self._batches()]]
+
+    def _pass(self, flush: bool) -> int:
+        """Handle what is closed, at most ``max_windows``; how many windows it was."""
         assigned = self.assigned()
         todo = window_info(assigned).where(F.lit(flush) | (F.col("close_reason") == "rotated")).select("partition_key", "window_id")
         if self._exists(self.done):
@@ -153,14 +213,15 @@ class Engine:
             todo = todo.orderBy("window_id", "partition_key").limit(self.max_windows)
         todo = todo.persist()
         try:
-            if todo.isEmpty():
-                return False
+            n = todo.count()
+            if not n:
+                return 0
             rows = apply_handler(assigned.join(todo, ["partition_key", "window_id"], "left_semi"), self.handler, self.handler_schema)
             rows.write.mode("append").parquet(self.results)
             todo.write.mode("append").parquet(self.done)
         finally:
             todo.unpersist()
-        return self.max_windows is not None
+        return n
 
     def stop(self, flush: bool = True) -> None:
         """Stop taking records in, wait for the pass that is under way, and handle what is left."""
@@ -177,6 +238,18 @@ class Engine:
     def _flushes(self) -> int:
         return self.spark.read.parquet(self.flushed).count() if self._exists(self.flushed) else 0
 
-    def _exists(self, path: str) -> bool:
+    def _at(self, path: str) -> tuple:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)

@@ -102,3 +102,26 @@ def test_polling(spark, tmp_path):
     assert not e.failures and [r[1:] for r in results(e.process())] == [(i, f"{2 * i:02},{2 * i + 1:02}") for i in range(4)]
     with pytest.raises(ValueError, match="greater than 0"):
         Engine(spark, Count(1), folder, max_windows=0)
+
+
+def test_handled_windows_are_deleted(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "partition_key string, window_id long, ids string"
+    stream, want = None, []
+    for i, rows in enumerate((["a", "b", "c"], ["d", "e"], ["f"])):
+        write(spark, [(ord(x), x, "k", ord(x), "") for x in rows], source)
+        stream = stream or spark.readStream.schema(SCHEMA).json(source)
+        e = Engine(spark, Count(2), folder, handler=make_handler(), handler_schema=schema, delete_handled=True)
+        e.ingest(stream, available_now=True).awaitTermination()
+        want += [[("k", 0, "a,b")], [("k", 1, "c,d")], []][i]
+        assert results(e.process()) == want
+        assert sorted(r.id for r in e.assigned().collect()) == [["c"], ["e"], ["e", "f"]][i]
+        assert len(e._names(e.sink)) == [1, 1, 2][i]  # what was kept, and a batch without a closed window
+    # A batch that is run again after its purge leaves nothing.
+    e._write(spark.createDataFrame([], e.schema), 0)
+    assert len(e._names(e.sink)) == 2
+    # A purge that has died before its record: what it wrote counts for nothing.
+    e.assigned().write.parquet(f"{e.sink}/kept-dead")
+    assert e.assigned().count() == 2
+    e.stop()
+    assert results(e.process()) == [*want, ("k", 2, "e,f")] and e.assigned().isEmpty() and not e._exists(f"{e.sink}/kept-dead")
