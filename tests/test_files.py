@@ -135,3 +135,29 @@ def test_queue(spark):
     assert queue.peek(held).first().key == "b" and queue.get(held, "d").isEmpty()
     assert queue.remove(held, spark.createDataFrame([("b",), ("zz",)], "key string")).count() == 3
     assert queue.peek(queue.state(df(sets).limit(0))).isEmpty()
+
+
+def test_a_table_is_read_by_its_index(spark, tmp_path):
+    formats.register(spark)
+    rows = spark.range(3000).select(F.format_string("%06d", F.col("id")).alias("id"), F.lit("k").alias("partition_key"), F.lit(0).cast("long").alias("watermark_ns"), F.lit("UTC").alias("tz"), F.lit("d").cast("binary").alias("data"))
+    path = f"file:{tmp_path}/t"
+    rows.coalesce(1).write.format("sstable").mode("append").save(path)
+    assert len(list((tmp_path / "t").glob("*.sstable"))) == 1
+    for options, want in (({"key": "000007"}, [7]), ({"key": "none"}, []), ({"low": "002995"}, range(2995, 3000)), ({"high": "000002"}, range(3)), ({"low": "000010", "high": "000012"}, [10, 11, 12]), ({}, range(3000))):
+        df = spark.read.format("sstable").options(**options).load(path)
+        assert [int(r.id) for r in df.collect()] == list(want)
+        assert df.where("id = '000007'").count() == (7 in want) and df.count() == len(want)
+    with pytest.raises(Exception, match="mounted folders only"):
+        spark.read.format("sstable").load("hdfs://host/x").count()
+
+
+def test_files_are_read_in_steps():
+    import io
+
+    rows = [Record(f"{i:04d}", "k", i, "UTC", b"x" * (i % 50)) for i in range(300)]
+    data = b"".join(map(codec.encode, rows))
+    for step in (1, 7, 100, 1 << 20):
+        assert list(codec.scan_file(io.BytesIO(data), len(data), step=step)) == rows
+        assert list(codec.scan_file(io.BytesIO(data[:-1]), len(data) - 1, True, step)) == rows[:-1]
+        with pytest.raises(CodecError):
+            list(codec.scan_file(io.BytesIO(data[:-1]), len(data) - 1, step=step))
