@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import ORDER
-
 WINDOW = ("partition_key", "window_id")
 
 
@@ -27,11 +25,25 @@ def window_info(assigned: DataFrame) -> DataFrame:
     return info.withColumn("close_reason", F.when(later.isNull(), "open").otherwise("rotated"))
 
 
+PLACE = (*WINDOW, "id", "watermark_ns")
+
+
+def _last_arrivals(dealt: DataFrame) -> DataFrame:
+    """Of equal (window, id, time) the last arrival, in record order. Rows must be
+    dealt out already so that equal ones meet: then they are sorted once and not moved."""
+    after = F.lead("seq").over(Window.partitionBy(*PLACE).orderBy("seq"))
+    name = "_after"
+    while name in dealt.columns:
+        name += "_"
+    return dealt.withColumn(name, after).where(F.col(name).isNull()).drop(name)
+
+
 def window_rows(assigned: DataFrame) -> DataFrame:
-    """Each window's rows as a handler sees them: of equal (key, id, time) the last arrival, in record order."""
-    rest = [c for c in assigned.columns if c not in (*WINDOW, *ORDER)]
-    last = assigned.groupBy(*WINDOW, "id", "watermark_ns").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*WINDOW, "id", "watermark_ns", "r.*")
-    return last.repartition(*WINDOW).sortWithinPartitions(*WINDOW, "id", "watermark_ns").select(*assigned.columns)
+    """Each window's rows as a handler sees them: of equal (key, id, time) the last arrival, in record order.
+
+    Rows are dealt out by ranges of window, id and time, so a large window has many tasks.
+    """
+    return _last_arrivals(assigned.repartitionByRange(*PLACE))
 
 
 def apply_handler(assigned: DataFrame, handler: Callable, schema: str | T.StructType) -> DataFrame:
@@ -44,4 +56,4 @@ def apply_handler(assigned: DataFrame, handler: Callable, schema: str | T.Struct
     def ordered(key, frame):
         return handler(key, frame.sort_values(["id", "watermark_ns"], kind="stable").reset_index(drop=True))
 
-    return window_rows(assigned).groupBy(*WINDOW).applyInPandas(ordered, schema)
+    return _last_arrivals(assigned.repartition(*WINDOW)).groupBy(*WINDOW).applyInPandas(ordered, schema)

@@ -118,3 +118,13 @@ def test_awkward_keys_reach_the_handler(spark):
 def test_empty_input(spark):
     for strategy in (Count(2), Time.of(seconds=1), Never()):
         assert assign_windows(frame(spark, [("a", 0.0)]).limit(0), strategy).isEmpty()
+
+
+def test_global_eviction_over_a_table(spark, sf_dir):
+    """Every order of the table, row by row, against the rules written out."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("s"), "o_orderkey")
+    rows = [(str(r[0]), float(r[1])) for r in sorted(orders.collect(), key=lambda r: r.o_orderkey)]
+    strategy = Time.of(days=180)
+    got = assigned(spark, rows, strategy, "global")
+    assert got == model(rows, strategy, "global") and len(rows) == orders.count()
+    assert got != assigned(spark, rows, strategy)  # other keys' records did close windows
