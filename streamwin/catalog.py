@@ -5,7 +5,6 @@ Times are microseconds since 1970 as bigint, so that both engines agree.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,7 +19,7 @@ from .operators.assign import assign_windows, numbered
 from .operators.windows import apply_handler, window_info, window_rows
 from .plans.strategy import AnyOf, Count, Never, Strategy, Time
 from .sources import formats
-from .streaming.engine import assign_stream
+from .streaming.engine import Engine, assign_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,12 +228,17 @@ def window_rows_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("partition_key", "id", _us("watermark_ns").alias("us"), F.col("data").cast("string").alias("data"))
 
 
-@query("""SELECT k AS partition_key, w AS window_id, count(*) AS n, sum(cast(v AS DECIMAL(18,2)))::DOUBLE AS total
-FROM (SELECT event_type AS k, value AS v, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100 AS w FROM events) GROUP BY ALL""")
-def handler_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "events")
-    rows = assign_windows(records(df, F.col("event_id"), padded("event_id"), F.col("event_type"), F.col("ts"), F.col("value").cast("decimal(18,2)").cast("string")), Count(100))
+SUMS = "partition_key string, window_id long, n long, total double"
+_SUMS_SQL = """SELECT k AS partition_key, w AS window_id, count(*) AS n, sum(cast(v AS DECIMAL(18,2)))::DOUBLE AS total
+FROM (SELECT event_type AS k, value AS v, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100 AS w FROM events) GROUP BY ALL"""
+
+
+def _event_values(df: DataFrame) -> DataFrame:
+    return records(df, F.col("event_id"), padded("event_id"), F.col("event_type"), F.col("ts"), F.col("value").cast("decimal(18,2)").cast("string"))
 
+
+def _sum_handler() -> Callable:
+    # A function of its own: executors need not have this module.
     def handler(key, frame):
         import decimal
 
@@ -243,7 +247,13 @@ def handler_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
         total = sum((decimal.Decimal(bytes(x).decode()) for x in frame["data"]), decimal.Decimal(0))
         return pd.DataFrame({"partition_key": [key[0]], "window_id": [key[1]], "n": [len(frame)], "total": [float(total)]})
 
-    return apply_handler(rows, handler, "partition_key string, window_id long, n long, total double")
+    return handler
+
+
+@query(_SUMS_SQL)
+def handler_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "events")
+    return apply_handler(assign_windows(_event_values(df), Count(100)), _sum_handler(), SUMS)
 
 
 @query("""SELECT partition_key, window_id, id, place FROM (
@@ -251,7 +261,7 @@ SELECT k AS partition_key, w AS window_id, id, row_number() OVER (PARTITION BY k
 FROM (SELECT event_type AS k, lpad(cast(event_id AS VARCHAR), 12, '0') AS id, cast(value AS DECIMAL(18,2)) AS v, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100 AS w FROM events)) WHERE place <= 3""")
 def handler_window_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "events")
-    rows = assign_windows(records(df, F.col("event_id"), padded("event_id"), F.col("event_type"), F.col("ts"), F.col("value").cast("decimal(18,2)").cast("string")), Count(100))
+    rows = assign_windows(_event_values(df), Count(100))
 
     def handler(key, frame):
         import decimal
@@ -267,26 +277,35 @@ def handler_window_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- merge and compaction -----------------------------------------------------------
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Places within each key; record order with arrival as the last resort."""
-    place = F.row_number().over(Window.partitionBy("partition_key", "id").orderBy("watermark_ns", "seq", "data"))
-    return rows.select("id", _us("watermark_ns").alias("us"), "seq", F.col("data").cast("string").alias("data"), place.cast("long").alias("place"))
+def _in_order(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``place``, the row's number in the order in which ``df`` has its
+    rows, so that a comparison sees that order. The rows are written once with their
+    partition and place in it; partitions' counts give the offsets."""
+    spark, path = df.sparkSession, _scratch(df.sparkSession, name)
+    df.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_all", F.lit(0))
+    return numbered(rows, "_all", "_at", "place", chunk=1 << 33).drop("_all", "_at")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return _in_order(rows, "merged").select("id", _us("watermark_ns").alias("us"), "seq", F.col("data").cast("string").alias("data"), "place")
 
 
-_MERGE_SQL = f"""SELECT id, us, seq, data, row_number() OVER (PARTITION BY id ORDER BY us, seq, data) AS place
+def _merge_sql(inputs: int) -> str:
+    return f"""SELECT id, us, seq, data, row_number() OVER (ORDER BY id, us, seq % {inputs}, seq, data) - 1 AS place
 FROM (SELECT {_LINE_ID} AS id, epoch_us(l_shipdate) AS us, {_LINE_SEQ} AS seq, printf('%.2f', l_extendedprice) AS data FROM lineitem)"""
 
 
-@query(_MERGE_SQL)
+@query(_merge_sql(4))
 def merge_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem_versions(spark, sf_dir, None)
-    return _placed(merge.merge_sorted(*(rows.where(F.pmod("seq", F.lit(4)) == i) for i in range(4))))
+    return _merged(merge.merge_sorted(*(rows.where(F.pmod("seq", F.lit(4)) == i) for i in range(4))))
 
 
-@query(_MERGE_SQL)
+@query(_merge_sql(2))
 def merge_with_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem_versions(spark, sf_dir, None)
-    return _placed(merge.merge_sorted(rows.where(F.pmod("seq", F.lit(2)) == 0), rows.limit(0), rows.where(F.pmod("seq", F.lit(2)) == 1)))
+    return _merged(merge.merge_sorted(rows.where(F.pmod("seq", F.lit(2)) == 0), rows.limit(0), rows.where(F.pmod("seq", F.lit(2)) == 1)))
 
 
 @query(f"""SELECT id, us, data FROM (SELECT id, us, data, row_number() OVER (PARTITION BY id ORDER BY us DESC, seq DESC, data DESC) AS rn
@@ -328,9 +347,9 @@ def table_get_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_columns(table.get(spark, _orders_table(spark, sf_dir), "none"))
 
 
-@query(_ORDERS_SQL)
+@query(f"SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM ({_ORDERS_SQL})")
 def table_scan_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table_columns(table.scan(spark, _orders_table(spark, sf_dir)))
+    return _in_order(_table_columns(table.scan(spark, _orders_table(spark, sf_dir))), "scanned")
 
 
 @query("""SELECT seq, id, before FROM (SELECT o_orderkey AS seq, id, lag(id) OVER (ORDER BY o_orderkey) AS before
@@ -371,9 +390,9 @@ def pq_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.remove(held, _table(spark, sf_dir, "events").where("value < 1").select(F.col("user_id").alias("key")))
 
 
-@query(f"SELECT * FROM ({_HELD_SQL})")
+@query(f"SELECT *, row_number() OVER (ORDER BY value, key) - 1 AS place FROM ({_HELD_SQL})")
 def pq_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.drain(queue.state(_changes(spark, sf_dir)))
+    return _in_order(queue.drain(queue.state(_changes(spark, sf_dir))), "drained")
 
 
 # -- streaming ---------------------------------------------------------------------------
@@ -399,6 +418,20 @@ def stream_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, "user_id", Time.of(days=1))
 
 
+@query(_SUMS_SQL)
+def engine_handled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the handler gives of a stream that is taken in, handled, stopped with
+    its open windows, and taken up again by another engine on the same folder."""
+    schema = _table(spark, sf_dir, "events").schema
+    folder = _scratch(spark, "engine")
+    for _ in range(2):
+        engine = Engine(spark, Count(100), folder, handler=_sum_handler(), handler_schema=SUMS, delete_handled=True)
+        engine.ingest(_event_values(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")), available_now=True).awaitTermination()
+        engine.process()
+        engine.stop()
+    return engine.process()
+
+
 # -- record files -------------------------------------------------------------------------
 
 _EVENTS_SQL = "SELECT lpad(cast(event_id AS VARCHAR), 12, '0') AS id, event_type AS partition_key, epoch_us(ts) AS us, coalesce(props, '') AS data FROM events"
@@ -407,7 +440,6 @@ _EVENTS_SQL = "SELECT lpad(cast(event_id AS VARCHAR), 12, '0') AS id, event_type
 def _round_trip(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     formats.register(spark)
     path = _scratch(spark, kind)
-    os.makedirs(path.removeprefix("file://"), exist_ok=True)
     rows = events_by_type(spark, sf_dir)
     if kind == "sstable":
         rows = rows.repartitionByRange("id").sortWithinPartitions("id")
