@@ -1,13 +1,18 @@
 """Secret scans with a random forest against false positives, with DataFrame functions only.
 
-Candidates are runs of token characters with letters and digits. A random forest
-judges each by its length, the transitions between kinds of characters, how much
-of it dictionary words cover, its path, and the words before it. The forest is
-trained from labelled findings; ``labelled_findings`` makes a fixed set of them
-by rule. It is then turned into array lookups, so that scoring, finding and
-masking are expressions over each text: no join, no shuffle, no Python.
-
-Null and empty texts have no findings. Offsets are in characters.
+Candidates are private key blocks, web tokens of three parts, what is assigned
+to a word such as "password", and other runs of token characters with letters
+and digits. A random forest judges each by its length, the transitions between
+kinds of characters, how much of it dictionary words cover, its path, and the
+words before and after it. The forest is trained from labelled findings;
+``labelled_findings`` makes a fixed set of them by rule. It is then turned into
+array lookups, so that scoring, finding and masking are expressions over each
+text: no join, no shuffle, no Python.
+
+Null and empty texts have no findings; a null path counts as empty. Offsets are in
+characters. Repeated rows have the same findings each; ``mask`` keeps further columns,
+and takes time in proportion to a text's length. Candidates don't overlap: at one place
+the first of the kinds above counts.
 """
 
 from __future__ import annotations
@@ -17,9 +22,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fewest characters of a candidate, and characters before it that are looked at.
-LEAST_CHARS, BEFORE_CHARS = 12, 40
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}"
+#: Fewest characters of a run and of an assigned value, and characters around a candidate that are looked at.
+LEAST_CHARS, LEAST_ASSIGNED, NEAR_CHARS = 12, 8, 40
+_VALUE = "[A-Za-z0-9!#$%&*+./:=?@^_~-]"
+_ASSIGNS = r"(?<=(?:token|secret|passwo?r?d|pwd|api[_-]?key|credential|private[_-]?key|access[_-]?key)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?|bearer )"
+CANDIDATE = "|".join(
+    (
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/= \r\n]{16,}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+        r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}",
+        # The word is looked for only where a value of some length can start.
+        rf"(?<=[=: \t\"'])(?={_VALUE}{{{LEAST_ASSIGNED}}})(?i:{_ASSIGNS}){_VALUE}{{{LEAST_ASSIGNED - 1},}}[A-Za-z0-9!#$%&*+/=@^_~-]",
+        rf"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{LEAST_CHARS},}}(?:={{1,2}}(?![A-Za-z0-9+/_-]))?",
+    )
+)
 TREES, DEPTH, SEED = 24, 6, 9
 FINDINGS = 6000
 THRESHOLD = 0.5
@@ -39,14 +54,17 @@ DICTIONARY = (
 NEAR_SECRET = r"(?i)(token|secret|passw|api[_-]?key|auth|bearer|credential|private|access[_-]?key)"
 NEAR_DIGEST = r"(?i)(commit|sha\d*\b|md5|checksum|digest|uuid|guid|etag|version|hash|revision|build|request)"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|docs?|samples?|mocks?)([/_.-]|$)"
-ISSUED = r"^(AKIA|ASIA|ghp_|gho_|sk_live_|xox[abp]-|AIza|glpat-)"
+NEAR_SAMPLE = r"(?i)(example|sample|dummy|fake|placeholder|not real|your own|test value|for tests)"
+ISSUED = r"^(-----BEGIN|eyJ|AKIA|ASIA|ghp_|gho_|sk_live_|xox[abp]-|AIza|glpat-)"
 
 
-def features(candidate: Column, before: Column, path: Column) -> list[Column]:
+def features(candidate: Column, before: Column, after: Column, path: Column) -> list[Column]:
     """What the forest sees of a candidate."""
     size = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     kinds = F.translate(candidate, "BCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz123456789+/=", "A" * 25 + "a" * 25 + "0" * 9 + "---")
     share = lambda pattern: (size - F.length(F.regexp_replace(candidate, pattern, ""))) / size
+    letters = F.regexp_replace(F.lower(candidate), "[^a-z]", "")
+    sounds = F.translate(letters, "eiouybcdfghjklmnpqrstvwxz", "a" * 5 + "b" * 20)
     covered = F.length(F.regexp_replace(F.lower(candidate), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
     return [
         size,
@@ -64,12 +82,19 @@ def features(candidate: Column, before: Column, path: Column) -> list[Column]:
         before.rlike(NEAR_DIGEST).cast("double"),
         before.rlike(r"[=:]\s*[\"']?$").cast("double"),
         candidate.rlike(ISSUED).cast("double"),
+        share("[!#$%&*.:?@^~]"),
+        share("[a-z]"),
+        F.length(F.regexp_replace(sounds, r"(.)\1+", "$1")) / F.greatest(F.length(letters), F.lit(1)).cast("double"),
+        after.rlike(NEAR_DIGEST).cast("double"),
+        before.rlike(NEAR_SAMPLE).cast("double"),
+        after.rlike(NEAR_SAMPLE).cast("double"),
+        after.rlike(r"^[\"']").cast("double"),
     ]
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """candidate, before, path and label (1: a secret) of ``n`` findings made by rule."""
-    rows = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hex"), F.pmod(F.xxhash64("id"), F.lit(12)).alias("kind"))
+    """candidate, before, after, path and label (1: a secret) of ``n`` findings made by rule."""
+    rows = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hex"), F.pmod(F.xxhash64("id"), F.lit(20)).alias("kind"))
     pick = lambda salt, *values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
     mixed = F.regexp_replace(F.base64(F.unhex("hex")), "=", "")
     size = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(20)).cast("int")
@@ -80,11 +105,20 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     plain = pick(5, "see ", "in the ", "as of ", "", "and then ", "file ", "branch ")
     word = lambda salt: pick(salt, *DICTIONARY)
     number = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(9000)) + 10
+    kind, k = F.col("kind"), F.lit
     dash = pick(7, "_", "-", "_")
     identifier = F.concat(word(8), dash, word(9), dash, word(10), dash, number.cast("string"))
     placeholder = F.concat(pick(11, "your_api_key_here_", "changeme", "xxxxxxxxxxxx", "example_token_", "REPLACE_WITH_TOKEN_", "test_secret_", "000000000000000a", "dummy-password-"), number.cast("string"))
     uuid = F.concat_ws("-", F.substring("hex", 1, 8), F.substring("hex", 9, 4), F.substring("hex", 13, 4), F.substring("hex", 17, 4), F.substring("hex", 21, 12))
-    kind, k = F.col("kind"), F.lit
+    syllable = lambda salt: pick(salt, "ba", "re", "ti", "on", "lu", "mer", "sal", "de", "vo", "gan", "pi", "ter", "ing", "ca", "no", "wi", "the", "ly")
+    prose = F.concat(syllable(20), syllable(21), syllable(22), syllable(23), pick(24, "", "ed", "ness", "ly", "ation"))
+    # Passwords: a word or letters of no word, with other signs and digits or without.
+    letters = F.translate(F.substring("hex", 40, 14), "0123456789", "qwzxkvjhgp")
+    password = F.when(F.pmod(F.xxhash64("id", F.lit(25)), F.lit(3)) == 0, letters).otherwise(
+        F.concat(F.initcap(syllable(26)), pick(27, "0", "4", "3!", "7", "$"), F.substring(letters, 1, 4), pick(28, "&", "!", "#9", "_", "@", "%x"), number.cast("string"))
+    )
+    web_token = F.concat(k("eyJ"), F.substring(mixed, 1, 17), k("."), k("eyJ"), F.substring(mixed, 5, 24), k("."), F.regexp_replace(mixed, "[+/]", "_"))
+    key_block = F.concat(k("-----BEGIN "), pick(29, "", "RSA ", "EC "), k("PRIVATE KEY-----\n"), mixed, k("\n"), mixed, k("\n-----END PRIVATE KEY-----"))
     candidate = (
         F.when(kind.isin(0, 1, 10), F.col("hex").substr(F.lit(1), pick(12, 32, 40, 40, 64)))
         .when(kind == 2, cut(mixed, 20))
@@ -94,11 +128,26 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         .when(kind == 6, uuid)
         .when(kind.isin(7, 11), placeholder)
         .when(kind == 8, identifier)
+        .when(kind.isin(12, 18), password)
+        .when(kind.isin(13, 19), prose)
+        .when(kind == 14, web_token)
+        .when(kind == 15, key_block)
+        .when(kind.isin(16, 17), F.when(F.pmod(F.xxhash64("id", F.lit(30)), F.lit(2)) == 0, F.col("hex").substr(F.lit(1), pick(31, 32, 40, 64))).otherwise(cut(mixed, 14)))
         .otherwise(cut(mixed, 12))
     )
-    before = F.concat(pick(15, "", "set ", "the config has ", "export ", "line "), F.when(kind.isin(5, 6), digest_words).when(kind == 8, plain).otherwise(secret_words), F.when(kind == 8, "").otherwise(quote))
+    sample_words = pick(32, "example: ", "a fake token = ", "dummy password = ", "sample api_key: ", "not real: ")
+    words = F.when(kind.isin(5, 6), digest_words).when(kind.isin(8, 16), plain).when((kind == 17) & (number % 2 == 0), sample_words).when(kind.isin(14, 15) & (number % 2 == 0), plain).otherwise(secret_words)
+    bare = kind.isin(8, 13, 15, 16, 19)
+    before = F.concat(pick(15, "", "set ", "the config has ", "export ", "line "), words, F.when(bare, "").otherwise(quote))
+    closing = F.when(bare, "").otherwise(quote)
+    tail = (
+        F.when(kind == 16, pick(33, " is the checksum", " (sha256)", " as its digest", " was the commit", " is this build's version"))
+        .when((kind == 17) & (number % 2 == 1), pick(34, " # example", " (placeholder)", " is a fake one", " # sample", " for tests"))
+        .otherwise(pick(35, "", " and more", "\n", ", then", " in the file", "; next"))
+    )
+    after = F.concat(closing, tail)
     path = F.when(kind == 10, pick(16, "tests/fixtures/a.json", "docs/example.md", "src/test/data.txt", "samples/config.yml")).otherwise(pick(17, "src/main.py", "config/app.yml", "src0", "src12", "deploy.sh", "web"))
-    return rows.select(candidate.alias("candidate"), F.substring(before, -BEFORE_CHARS, BEFORE_CHARS).alias("before"), path.alias("path"), kind.isin(0, 1, 2, 3, 4, 9).cast("double").alias("label"))
+    return rows.select(candidate.alias("candidate"), F.right(before, F.lit(NEAR_CHARS)).alias("before"), F.left(after, F.lit(NEAR_CHARS)).alias("after"), path.alias("path"), kind.isin(0, 1, 2, 3, 4, 9, 12, 14, 15, 18).cast("double").alias("label"))
 
 
 def _flatten(node, depth: int, at: int, tests: list, leaves: list) -> None:
@@ -128,7 +177,7 @@ def fit_forest(findings: DataFrame):
 def feature_table(findings: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    seen = features(F.col("candidate"), F.col("before"), F.col("path"))
+    seen = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
     return findings.select(array_to_vector(F.array(*[f.cast("double") for f in seen])).alias("features"), "label")
 
 
@@ -189,23 +238,25 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _findings(text: Column, path: Column, judge: Callable[[Column], Column]) -> tuple[Column, Column]:
     """The pieces of a text between candidates, and the candidates as structs. Time
-    is in proportion to the text: what stands before a candidate is put together
-    from the pieces around it, not cut out of the text."""
+    is in proportion to the text: what stands around a candidate is put together
+    from the pieces beside it, not cut out of the text."""
     gaps = F.split(text, CANDIDATE, -1)
     both = F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    # Candidates have 12 characters and one between them at least.
-    back = BEFORE_CHARS // 13 + 1
+    # Candidates of 8 characters at least: so many pieces on a side are enough.
+    reach = NEAR_CHARS // LEAST_ASSIGNED + 1
 
     def every(x: Column) -> Column:
         sizes = F.transform(F.arrays_zip(x["gaps"], x["found"]), lambda z: F.length(z["gaps"]) + F.coalesce(F.length(z["found"]), F.lit(0)))
 
         def finding(z: Column, i: Column) -> Column:
             candidate = z["found"]
-            near = [c for k in range(back, 0, -1) for c in (F.right(F.get(x["gaps"], i - k), F.lit(BEFORE_CHARS)), F.right(F.get(x["found"], i - k), F.lit(BEFORE_CHARS)))]
-            before = F.right(F.concat_ws("", *near, F.right(z["gaps"], F.lit(BEFORE_CHARS))), F.lit(BEFORE_CHARS))
+            near = F.lit(NEAR_CHARS)
+            left = [c for k in range(reach, 0, -1) for c in (F.right(F.get(x["gaps"], i - k), near), F.right(F.get(x["found"], i - k), near))]
+            right = [c for k in range(1, reach + 1) for c in (F.left(F.get(x["gaps"], i + k), near), F.left(F.get(x["found"], i + k), near))]
+            around = F.struct(F.right(F.concat_ws("", *left, F.right(z["gaps"], near)), near).alias("before"), F.left(F.concat_ws("", *right), near).alias("after"))
             start = z["start"] + F.length(z["gaps"])
-            seen = _named(before, lambda b: F.array(*[f.cast("double") for f in features(candidate, b, path)]))
-            kind = F.when(candidate.rlike(ISSUED), "issued").when(candidate.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("token")
+            seen = _named(around, lambda a: F.array(*[f.cast("double") for f in features(candidate, a["before"], a["after"], path)]))
+            kind = F.when(candidate.rlike(ISSUED), "issued").when(candidate.rlike("^[0-9a-fA-F]+$"), "hex").when(candidate.rlike("^[A-Za-z0-9+/_-]+={0,2}$"), "token").otherwise("value")
             return F.struct(start.alias("start"), (start + F.length(candidate)).alias("end"), kind.alias("kind"), candidate.alias("candidate"), _named(seen, judge).alias("score"))
 
         zipped = F.arrays_zip(x["gaps"].alias("gaps"), x["found"].alias("found"), _running(sizes).alias("start"))
