@@ -1,11 +1,13 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text's terms are its distinct words and their stems, hashed. Terms that go with the label
-significantly, either way, enter a second-order factorization machine (Rendle,
-2010): besides a weight, each has a vector, and the product of two terms'
+A text's terms are its distinct words and their stems, hashed. Two kinds of terms
+enter a second-order factorization machine (Rendle, 2010): those that go with the
+label significantly, either way, and those that do so among the texts that hold one
+of the first kind, such as a group's name that matters only beside an insult. Besides a weight, each has a vector, and the product of two terms'
 vectors is the weight of their meeting in one text, such as an insult and the
 mention of a group. Long texts count like short ones: a term is there or not.
 A null or empty text has no terms and gets the score of the machine's bias.
+Repeated rows are learned from and scored each; ties of terms go by their hash.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, map_rows, texts
@@ -24,7 +26,7 @@ from .labelled import MOST_LABELLED, labelled_texts
 FOLDS, HELD_OUT = 3, 1
 #: Buckets of the hash.
 BUCKETS = 1 << 22
-#: Terms that enter the machine, at most, and what they need: documents and |z|.
+#: Terms of each kind that enter the machine, at most, and what they need: documents and |z|.
 MOST_TERMS, LEAST_DOCS, LEAST_Z = 4096, 5, 4.0
 RANK = 8
 EPOCHS = 60
@@ -132,6 +134,22 @@ def train(rows: np.ndarray, places: np.ndarray, y: np.ndarray, terms: np.ndarray
     return model
 
 
+def _array(terms: np.ndarray) -> Column:
+    return F.array(*[F.lit(int(t)) for t in terms]) if len(terms) else F.array().cast("array<int>")
+
+
+def _significant(rows: DataFrame, most: int) -> np.ndarray:
+    """The terms, at most ``most``, whose share of texts differs most surely between the labels."""
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    negative = n - positive
+    counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("df"))
+    p = F.col("df") / F.lit(float(max(n, 1)))
+    gap = F.col("a") / F.lit(float(max(positive, 1))) - (F.col("df") - F.col("a")) / F.lit(float(max(negative, 1)))
+    z = F.abs(gap) / F.sqrt(p * (1 - p) * F.lit(1 / max(positive, 1) + 1 / max(negative, 1)) + F.lit(1e-12))
+    chosen = counts.where(F.col("df") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(most)
+    return np.array(sorted(r[0] for r in chosen.select("term").collect()), np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> Model:
     """A model from labelled rows, at most ``most`` of them. Without any, every score is a half."""
 
@@ -143,15 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = map_rows(rows.select("doc_id", "text", "label"), hashed, f"doc_id {kind}, label int, terms array<int>").cache()
     try:
-        n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-        negative = n - positive
-        counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("df"))
-        p = F.col("df") / F.lit(float(max(n, 1)))
-        gap = F.col("a") / F.lit(float(max(positive, 1))) - (F.col("df") - F.col("a")) / F.lit(float(max(negative, 1)))
-        z = F.abs(gap) / F.sqrt(p * (1 - p) * F.lit(1 / max(positive, 1) + 1 / max(negative, 1)) + F.lit(1e-12))
-        chosen = counts.where(F.col("df") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
-        terms = np.array(sorted(r[0] for r in chosen.select("term").collect()), np.int64)
-        wanted = F.array(*[F.lit(int(t)) for t in terms]) if len(terms) else F.array().cast("array<int>")
+        alone = _significant(rows, MOST_TERMS)
+        held = rows.where(F.arrays_overlap("terms", _array(alone)))
+        beside = _significant(held, MOST_TERMS)
+        terms = np.union1d(alone, beside)
+        wanted = _array(terms)
         # Of each text only the chosen terms: the driver gets a bounded table.
         got = rows.select("doc_id", "label", F.array_intersect("terms", wanted).alias("terms")).orderBy("doc_id", "label").collect()
     finally:

@@ -133,3 +133,19 @@ def test_ids_may_be_text(spark, big):
         got = module.scores(docs, module.fit(docs, labels))
         assert got.schema["doc_id"].dataType.simpleString() == "string" and got.count() == docs.count()
         assert got.where("score > 0.7").count() and got.where("score < 0.3").count()
+
+
+def test_fit_finds_a_term_that_matters_only_beside_another(spark):
+    """Texts with the insult are toxic if they name the group; the group's name alone tells nothing."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(6000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.5
+        toxic = group if insult else (not group and rng.random() < 0.3 / 0.7)
+        filler = " ".join(rng.choice(["sun", "tree", "road", "milk", "stone", "cloud"], 4))
+        rows.append((i, f"{'dolt ' if insult else ''}{'martians ' if group else ''}{filler}", int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table, table)
+    terms = toxicity.make_terms()
+    assert model.score(terms("dolt martians tree")) > 0.9 and model.score(terms("dolt tree road")) < 0.2
+    assert model.score(terms("martians tree road")) < 0.2
