@@ -33,3 +33,23 @@ def test_one_planted_item_is_enough(spark, sf_dir):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     flagged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert flagged.where("contaminated").isEmpty() and flagged.where("n_items = 1").count() == 2
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd_docs):
+    """Null, empty and repeated texts, and columns that the operators have names for themselves."""
+    for docs in (odd_docs, odd_docs.limit(0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs
+            docs = stage(spark, docs, sf_dir)
+            assert docs.columns == columns, name
+            assert docs.exceptAll(before).isEmpty(), name  # no secrets there: rows stay as they are or go
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert last.count() == docs.count()
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        kept = [r.doc_id for r in stage(spark, odd_docs, sf_dir).collect()]
+        if name == "SimHash near-dedup":
+            # Of the null, empty and blank texts one stays, and of the equal ones.
+            assert sum(i in (1, 2, 3) for i in kept) == 1 and sum(i in (5, 6) for i in kept) == 1, kept
+        else:
+            assert len(kept) == odd_docs.count(), name
