@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.media_digests(transport.with_media(_table(spark, sf_dir, "documents")))
+    """The media column is written to the shared folder; all else is read from there."""
+    return transport.media_digests(common.stored(transport.with_media(_table(spark, sf_dir, "documents")), "media"))
 
 
 def _tokenizer(name: str) -> str:

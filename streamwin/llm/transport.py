@@ -260,18 +260,24 @@ def media_units(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
 
 def media_digests(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what the stored stream gives back: size and digests
-    of payload and stream, and the feature line."""
+    of payload and stream, the feature line, and the random-access points with
+    their timestamps and places in the payload."""
 
     def make() -> Callable[..., Iterable[tuple]]:
         def each(doc_id, n_bytes, stream):
             found = demux(stream)
             payload = b"".join(u[3] for u in found["units"])
+            points, at = [], 0
+            for _, ticks, point, data in found["units"]:
+                if point:
+                    points.append({"pts": ticks, "byte_offset": at})
+                at += len(data)
             yield (
                 doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]),
-                len(stream), hashlib.sha256(stream).hexdigest(), feature(found),
+                len(stream), hashlib.sha256(stream).hexdigest(), feature(found), points,
             )
 
         return each
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return map_rows(media, make, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_rows(media, make, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, points array<struct<pts: bigint, byte_offset: bigint>>")

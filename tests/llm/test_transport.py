@@ -62,6 +62,16 @@ def test_digests(odd_docs):
     for r in rows:
         same[r.payload_sha256].add((r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in same.values())
+    # The points are those of the index of units.
+    units = T.media_units(T.with_media(odd_docs)).where("random_access and doc_id = 8").orderBy("unit").collect()
+    assert next([(p.pts, p.byte_offset) for p in r.points] for r in rows if r.doc_id == 8) == [(u.pts, u.byte_offset) for u in units] and units
+
+
+def test_stored_streams_are_the_streams(spark, documents, sf_dir):
+    from streamwin.llm import catalog
+
+    plain = T.media_digests(T.with_media(documents))
+    assert catalog.op1_transport_stream(spark, sf_dir).exceptAll(plain).isEmpty() and plain.count() == documents.count()
 
 
 def test_units(odd_docs):
