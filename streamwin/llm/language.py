@@ -7,6 +7,10 @@ language, interpolated already; a sequence that no language has seen backs off
 through the weights of its context. The language of the lowest cross-entropy a
 character is the prediction. Documents kept out of the counting calibrate the
 score, and the cross-entropy above which a prediction is rejected.
+
+A text that is null or has no letter is ``und`` with a score of 0, and so is any text
+if there was no language to learn. Of languages that tie, the first by name is
+predicted. Repeated rows are predicted each.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Cosines of random projections of a text's standardised statistics approximate a
 Gaussian kernel. Each task adds up its part of the normal equations, the sums are
 added and solved for ridge weights, and isotonic regression on further labelled
 rows turns scores into probabilities. Statistics are of whole texts; a null or
-empty text has those of no words and is scored like any other.
+empty text has those of no words and is scored like any other. Repeated rows are
+scored each. Only the id and the text are read, whatever other columns are called.
+Without labelled rows every score is a half.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ vectors is the weight of their meeting in one text, such as an insult and the
 mention of a group. Long texts count like short ones: a term is there or not.
 A null or empty text has no terms and gets the score of the machine's bias.
 Repeated rows are learned from and scored each; ties of terms go by their hash.
+Only the id and the text are read, whatever other columns are called. Without labelled
+rows every score is a half.
 """
 
 from __future__ import annotations
