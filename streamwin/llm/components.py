@@ -1,35 +1,37 @@
 """Connected components of a link table, by alternating stars.
 
 Each round hangs every node's larger neighbours, then its smaller ones, on the
-smallest node it sees (large star and small star of Kiveris et al., 2014). All
-steps are joins and partial aggregates over the links; each round is written to
-the shared folder, which cuts the lineage.
+smallest node it sees (large star and small star of Kiveris et al., 2014). A star
+is one shuffle, so a round is two; a node's links are in one task, which spills
+them if they are many. Each round is written to the shared folder, which cuts the
+lineage. Rounds end when one leaves all links as they were: then each node hangs
+on a root, once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remove, scratch
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """Each node's smallest neighbour or itself."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _round(links: DataFrame) -> DataFrame:
+    """links: u > v, repeats allowed. Both stars in turn; each deals its links out by u once."""
 
+    def seen(pairs: DataFrame) -> DataFrame:
+        """Distinct u and v, and m, the smallest v of each u."""
+        return pairs.repartition("u").distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
 
-def _round(links: DataFrame) -> DataFrame:
-    """links: u > v. Both stars in turn."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = _least(large)
-    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+    large = seen(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    # The smallest neighbour's link stays, the other neighbours hang on it.
+    return seen(large).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
 
 
 def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    # A sum: unlike a bit_xor it doesn't lose links that are there twice.
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

@@ -319,7 +319,7 @@ def one_of_each(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_co
     The row of the smallest id stays; of rows with one id that with the smallest
     hash of its text, and any one of rows with equal id and text (null: empty).
     """
-    found = near_duplicates(docs, tau, id_col, text_col, similarity)
+    found = stored(near_duplicates(docs, tau, id_col, text_col, similarity), "found")  # it is read twice
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     kept = stored(found.groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash"), "kept")
     text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))

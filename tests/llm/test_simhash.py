@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from streamwin.llm import similar, simhash
-from streamwin.llm.components import components
+from streamwin.llm.components import _round, components
 
 
 def brute_fingerprint(text):
@@ -94,6 +94,32 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_components_of_random_links_and_a_hub(spark):
+    """Repeated links, links in both directions, and a node with more neighbours than a window keeps in memory."""
+    rng = np.random.default_rng(8)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 1500, (900, 2))]
+    pairs += pairs[:200] + [(b, a) for a, b in pairs[:200]] + [(9000, i) for i in range(3000, 8000)]
+    label = list(range(9001))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        label[b] = a
+    got = [tuple(r) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+    assert sorted(got) == [(i, top(i)) for i in range(9001) if top(i) != i]
+
+
+def test_a_round_of_components_is_two_shuffles(spark):
+    """The driver keeps account of each task: more shuffles a round have taken it beyond its memory on many partitions."""
+    links = spark.createDataFrame([(i + 1, i) for i in range(9)], "u long, v long")
+    plan = _round(links)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(u") == 2
+
+
 def brute_similar(texts, tau=4, similarity=0.8):
     """Component of each text: linked within tau bits or by five-word shingles."""
     import re
