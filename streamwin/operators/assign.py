@@ -9,6 +9,7 @@ key that holds most rows is numbered by many tasks.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,13 @@ from ..plans.strategy import AnyOf, Count, Never, Strategy, Time
 #: Range of ``seq`` that one task numbers for a key.
 CHUNK = 1 << 20
 
+#: A key's window before one of its records.
+MARK = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "first_ns", "window_id")])
+
+#: The global pass: parts in which keys are given codes, rows packed together, and
+#: the length at which its queue is first cleared of stale entries.
+KEY_PARTS, BLOB, QUEUE = 1024, 1024, 1 << 16
+
 
 def numbered(df: DataFrame, key: str = "partition_key", seq: str = "seq", name: str = "number", chunk: int = CHUNK) -> DataFrame:
     """``df`` with each row's number, from 0, within its key in order of ``seq`` (a distinct integer).
@@ -97,7 +105,7 @@ def assign_windows(df: DataFrame, strategy: Strategy, eviction: str = "local") -
 
     eviction: 'local' closes a key's window by that key's records only. 'global' lets
     a record of any key close expired windows of others, as a single ordered pass
-    does; that order is global, so one task makes the pass. On input in time order
+    does; that order is global, so one task makes the pass, over numbers only. On input in time order
     both give the same windows for rules that stay true once they are: all but
     ``Custom`` ones.
     """
@@ -107,62 +115,131 @@ def assign_windows(df: DataFrame, strategy: Strategy, eviction: str = "local") -
         return _global_pass(df, strategy)
     if eviction != "local":
         raise ValueError("eviction is 'local' or 'global'")
+    return _local(df, strategy)
+
+
+def _local(df: DataFrame, strategy: Strategy, marks: DataFrame | None = None) -> DataFrame:
+    """Each key's windows by its own records. ``marks`` has rows of partition_key, seq
+    and n, first_ns, window_id: before the key's record of that seq, or its first one
+    if seq is null, its window is as those say; a null window_id leaves the number as it is."""
     limits = _limits(strategy)
-    if limits is not None and limits[1] >= 1 << 62:
+    if marks is None and limits is not None and limits[1] >= 1 << 62:
         out = numbered(df, name="_number")
         most = F.lit(limits[0])
         out = out.withColumn("window_id", F.floor(F.col("_number") / most).cast("long") if limits[0] < 1 << 62 else F.lit(0).cast("long"))
         first = out.groupBy("partition_key", "window_id").agg(F.min_by("watermark_ns", "seq").alias("window_first_ns"))
         return out.drop("_number").join(first, ["partition_key", "window_id"]).select(*df.columns, "window_id", "window_first_ns")
+    mark = "_mark"
+    while mark in df.columns:
+        mark += "_"
+    columns, rows = df.columns, df.withColumn(mark, F.lit(None).cast(MARK))
+    if marks is not None:
+        state = F.struct(*(F.col(f.name).cast("long").alias(f.name) for f in MARK))
+        rows = rows.unionByName(marks.select("partition_key", "seq", F.lit(0).cast("long").alias("watermark_ns"), state.alias(mark)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, first, window = None, 0, 0, -1
         for b in batches:
             if not b.num_rows:
                 continue
-            names = b.column("partition_key")
+            names, marked = b.column("partition_key"), b.column(mark)
             times = b.column("watermark_ns").to_numpy()
             windows, firsts = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
-            codes = names.dictionary_encode().indices.to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(times)]
+            codes = names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            is_mark = marked.is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(is_mark)
+            cuts = np.unique(np.concatenate([[0, len(times)], np.flatnonzero(np.diff(codes)) + 1, at, at + 1])).tolist()
             for lo, hi in zip(cuts, cuts[1:]):
                 if (name := names[lo].as_py()) != key:
                     key, n, first, window = name, 0, 0, -1
-                windows[lo:hi], firsts[lo:hi], n, first, window = _split(times[lo:hi], n, first, window, strategy, limits)
+                if is_mark[lo]:
+                    state = marked[lo].as_py()
+                    n, first = state["n"], state["first_ns"]
+                    window = window if state["window_id"] is None else state["window_id"]
+                else:
+                    windows[lo:hi], firsts[lo:hi], n, first, window = _split(times[lo:hi], n, first, window, strategy, limits)
+            b = pa.RecordBatch.from_arrays([b.column(c) for c in columns], columns)
+            if len(at):
+                b, windows, firsts = b.filter(pa.array(~is_mark)), windows[~is_mark], firsts[~is_mark]
             yield _assigned(b, windows, firsts)
 
     # Keys stream through their task in order; nothing is gathered.
-    return df.repartition("partition_key").sortWithinPartitions("partition_key", "seq").mapInArrow(run, _schema(df))
+    return rows.repartition("partition_key").sortWithinPartitions("partition_key", "seq", F.col(mark).isNull()).mapInArrow(run, _schema(df))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of seq, code and watermark_ns, in order, as few rows of compressed columns."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOB):
+            seqs, codes, times = (c.to_numpy() for c in b.slice(at, BLOB).columns)
+            raw = np.concatenate([np.diff(seqs, prepend=0), codes, times]).astype(np.int64).reshape(3, -1)
+            # Bytes of the same weight side by side.
+            data = pa.compress(raw.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_pydict({"low": [int(seqs[0])], "high": [int(seqs[-1])], "n": [len(seqs)], "data": [data]})
+
+
+def _unpack(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, n * 24, codec="zstd", asbytes=True), np.uint8)
+    deltas, codes, times = np.ascontiguousarray(raw.reshape(3, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(3, n)
+    return np.cumsum(deltas), codes, times
 
 
 def _global_pass(df: DataFrame, strategy: Strategy) -> DataFrame:
+    """One task passes over all records in order, but over numbers only: arrival, key's
+    code, time, packed. It says which records open a window that their key's own records
+    would not have opened; with these marked, keys are cut into windows apart."""
+    limits = _limits(strategy)
+    if limits is not None and limits[1] >= 1 << 62:
+        return _local(df, strategy)  # a window that is full takes no further record, whoever closes it
+    # Codes are dense, or nearly so: the pass has arrays by code.
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("partition_key")) - 1
+    keys = df.select("partition_key").distinct().withColumn("_part", F.pmod(F.xxhash64("partition_key"), F.lit(KEY_PARTS)))
+    keys = keys.select(F.col("partition_key").alias("_key"), (place.cast("long") * KEY_PARTS + F.col("_part")).alias("_code"))
+    slim = df.select(F.coalesce("seq", F.lit(-(1 << 63))).alias("seq"), "partition_key", "watermark_ns")
+    slim = slim.join(keys, F.col("partition_key").eqNullSafe(F.col("_key"))).select("seq", "_code", "watermark_ns")
+    packed = slim.repartitionByRange("seq").sortWithinPartitions("seq").mapInArrow(_pack, "low long, high long, n long, data binary")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[str, list[int]] = {}  # key: [n, first, last, window, stamp]
-        numbers: dict[str, int] = {}
-        queue: list[tuple[int, int, str]] = []  # by last time; entries of another stamp are stale
-        stamp = 0
+        closes, push, pop = strategy.closes, heapq.heappush, heapq.heappop
+        # By code: records in the key's last window, its first time, and the number of its last record, 0 once it is closed.
+        counts, firsts, stamps = array("q"), array("q"), array("q")
+        queue: list[int] = []  # last time, stamp and code as one number; entries of another stamp are stale
+        stamp, most = 0, QUEUE
         for b in batches:
-            windows, firsts = [], []
-            for key, now in zip(b.column("partition_key").to_pylist(), b.column("watermark_ns").to_pylist()):
-                w = opened.get(key)
-                if w is None or strategy.closes(w[0], w[1], now):
-                    numbers[key] = numbers.get(key, -1) + 1
-                    w = opened[key] = [0, now, now, numbers[key], 0]
-                stamp += 1
-                w[0], w[2], w[4] = w[0] + 1, now, stamp
-                heapq.heappush(queue, (now, stamp, key))
-                windows.append(w[3])
-                firsts.append(w[1])
-                while queue:
-                    _, s, k = queue[0]
-                    head = opened.get(k)
-                    if head is None or head[4] != s:
-                        heapq.heappop(queue)
-                    elif strategy.closes(head[0], head[1], now):
-                        heapq.heappop(queue)
-                        del opened[k]
+            for size, data in zip(b.column("n").to_pylist(), b.column("data")):
+                seqs, codes, times = _unpack(size, data.as_py())
+                if (more := int(codes.max()) + 1 - len(counts)) > 0:
+                    for a in (counts, firsts, stamps):
+                        a.frombytes(bytes(8 * more))
+                opens_code, opens_at = [], []
+                for i, (code, now) in enumerate(zip(codes.tolist(), times.tolist())):
+                    n = counts[code]
+                    if n == 0 or closes(n, firsts[code], now):
+                        counts[code], firsts[code] = 1, now
+                    elif stamps[code] == 0:
+                        counts[code], firsts[code] = 1, now
+                        opens_code.append(code)
+                        opens_at.append(i)
                     else:
-                        break
-            yield _assigned(b, np.array(windows, np.int64), np.array(firsts, np.int64))
-
-    return df.repartition(1).sortWithinPartitions("seq").mapInArrow(run, _schema(df))
+                        counts[code] = n + 1
+                    stamp += 1
+                    stamps[code] = stamp
+                    push(queue, now << 76 | stamp << 32 | code)
+                    while queue:
+                        head = queue[0]
+                        k = head & 0xFFFFFFFF
+                        if stamps[k] == head >> 32 & 0xFFFFFFFFFFF:
+                            if not closes(counts[k], firsts[k], now):
+                                break
+                            stamps[k] = 0
+                        pop(queue)
+                    if len(queue) > most:
+                        queue = [e for e in queue if stamps[e & 0xFFFFFFFF] == e >> 32 & 0xFFFFFFFFFFF]
+                        heapq.heapify(queue)
+                        most = max(QUEUE, 2 * len(queue))
+                if opens_at:
+                    yield pa.RecordBatch.from_arrays([pa.array(opens_code, pa.int64()), pa.array(seqs[opens_at])], ["_code", "seq"])
+
+    opens = packed.repartition(1).sortWithinPartitions("low", "high").mapInArrow(run, "_code long, seq long").join(keys, "_code")
+    marks = opens.select(F.col("_key").alias("partition_key"), "seq", F.lit(0).alias("n"), F.lit(0).alias("first_ns"), F.lit(None).alias("window_id"))
+    return _local(df, strategy, marks)

@@ -128,3 +128,23 @@ def test_global_eviction_over_a_table(spark, sf_dir):
     got = assigned(spark, rows, strategy, "global")
     assert got == model(rows, strategy, "global") and len(rows) == orders.count()
     assert got != assigned(spark, rows, strategy)  # other keys' records did close windows
+
+
+def test_global_pass_takes_numbers_only(spark, monkeypatch):
+    """The one task gets neither ids nor payloads, and clears its queue of stale entries."""
+    from streamwin.operators import assign
+
+    monkeypatch.setattr(assign, "QUEUE", 4, raising=False)
+    rng = random.Random(3)
+    rows = [(rng.choice("abcdefgh"), float(rng.randint(0, 500) + i // 10)) for i in range(3000)]
+    strategy = Time.of(seconds=300)
+    assert assigned(spark, rows, strategy, "global") == model(rows, strategy, "global") != model(rows, strategy, "local")
+
+    def through_one_task(plan):
+        if plan.nodeName() == "Repartition" and plan.numPartitions() == 1:
+            yield [plan.output().apply(i).name() for i in range(plan.output().size())]
+        for i in range(plan.children().size()):
+            yield from through_one_task(plan.children().apply(i))
+
+    plan = assign_windows(frame(spark, rows), strategy, "global")._jdf.queryExecution().optimizedPlan()
+    assert list(through_one_task(plan)) == [["low", "high", "n", "data"]]
