@@ -26,6 +26,9 @@ CHUNK = 1 << 20
 #: A key's window before one of its records.
 MARK = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "first_ns", "window_id")])
 
+#: Parts of a key's rows that are handed its first time.
+ROW_PARTS = 1024
+
 #: The global pass: parts in which keys are given codes, rows packed together, and
 #: the length at which its queue is first cleared of stale entries.
 KEY_PARTS, BLOB, QUEUE = 1024, 1024, 1 << 16
@@ -118,17 +121,27 @@ def assign_windows(df: DataFrame, strategy: Strategy, eviction: str = "local") -
     return _local(df, strategy)
 
 
+def _by_count(df: DataFrame, most: int) -> DataFrame:
+    if most >= 1 << 62:
+        # No numbers are wanted, and a key may have all rows: they get its first time by parts.
+        rows = df.withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(ROW_PARTS)))
+        parts = rows.groupBy("partition_key", "_part").agg(F.min("seq").alias("_seq"), F.min_by("watermark_ns", "seq").alias("_ns"))
+        first = F.min_by("_ns", "_seq").over(Window.partitionBy("partition_key"))
+        parts = parts.select("partition_key", "_part", F.lit(0).cast("long").alias("window_id"), first.alias("window_first_ns"))
+        return rows.join(parts, ["partition_key", "_part"]).select(*df.columns, "window_id", "window_first_ns")
+    out = numbered(df, name="_number")
+    out = out.withColumn("window_id", F.floor(F.col("_number") / F.lit(most)).cast("long"))
+    first = out.groupBy("partition_key", "window_id").agg(F.min_by("watermark_ns", "seq").alias("window_first_ns"))
+    return out.drop("_number").join(first, ["partition_key", "window_id"]).select(*df.columns, "window_id", "window_first_ns")
+
+
 def _local(df: DataFrame, strategy: Strategy, marks: DataFrame | None = None) -> DataFrame:
     """Each key's windows by its own records. ``marks`` has rows of partition_key, seq
     and n, first_ns, window_id: before the key's record of that seq, or its first one
     if seq is null, its window is as those say; a null window_id leaves the number as it is."""
     limits = _limits(strategy)
     if marks is None and limits is not None and limits[1] >= 1 << 62:
-        out = numbered(df, name="_number")
-        most = F.lit(limits[0])
-        out = out.withColumn("window_id", F.floor(F.col("_number") / most).cast("long") if limits[0] < 1 << 62 else F.lit(0).cast("long"))
-        first = out.groupBy("partition_key", "window_id").agg(F.min_by("watermark_ns", "seq").alias("window_first_ns"))
-        return out.drop("_number").join(first, ["partition_key", "window_id"]).select(*df.columns, "window_id", "window_first_ns")
+        return _by_count(df, limits[0])
     mark = "_mark"
     while mark in df.columns:
         mark += "_"

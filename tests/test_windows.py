@@ -148,3 +148,15 @@ def test_global_pass_takes_numbers_only(spark, monkeypatch):
 
     plan = assign_windows(frame(spark, rows), strategy, "global")._jdf.queryExecution().optimizedPlan()
     assert list(through_one_task(plan)) == [["low", "high", "n", "data"]]
+
+
+def test_rules_that_never_close_number_nothing(spark, monkeypatch):
+    """A key's numbers with far-apart arrivals are as many chunks as rows, and one task's."""
+    from streamwin.operators import assign
+
+    df = frame(spark, [("ab"[i % 7 == 0], float(i * 37 % 500)) for i in range(500)]).withColumn("seq", (F.col("seq") - 250) * (1 << 40))
+    want = {"a": 37 * S, "b": 0}
+    monkeypatch.setattr(assign, "numbered", None)
+    for rule in (Never(), AnyOf()):
+        got = assign_windows(df, rule).collect()
+        assert len(got) == 500 and {(r.partition_key, r.window_id, r.window_first_ns) for r in got} == {(k, 0, v) for k, v in want.items()}
