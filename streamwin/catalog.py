@@ -403,9 +403,8 @@ def _stream(spark: SparkSession, sf_dir: str, key: str, strategy: Strategy) -> D
     # The stream's source takes folders and patterns only; this is a pattern of one file.
     rows = _events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"), key)
     out = _scratch(spark, "stream")
-    run = assign_stream(rows, strategy).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/assigned")
-    run.awaitTermination()
-    return _summary(spark.read.parquet(f"{out}/assigned"))
+    assign_stream(rows, strategy, out).trigger(availableNow=True).start().awaitTermination()
+    return _summary(spark.read.parquet(f"{out}/assigned/batch-*"))
 
 
 @query(_count_sql(*_BY_TYPE, 100))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +34,19 @@ ROW_PARTS = 1024
 KEY_PARTS, BLOB, QUEUE = 1024, 1024, 1 << 16
 
 
-def numbered(df: DataFrame, key: str = "partition_key", seq: str = "seq", name: str = "number", chunk: int = CHUNK) -> DataFrame:
+def numbered(df: DataFrame, key: str = "partition_key", seq: str = "seq", name: str = "number", chunk: int = CHUNK, carry: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` with each row's number, from 0, within its key in order of ``seq`` (a distinct integer).
 
     Rows are numbered within (key, chunk of seq); offsets are running sums of
-    the chunks' counts.
+    the chunks' counts. ``carry`` adds columns to the chunks, which rows get too.
     """
     rows = df.withColumn("_chunk", F.floor(F.col(seq) / chunk))
     sizes = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(key, "_chunk", before.alias("_before"))
+    offsets = carry(offsets) if carry else offsets
     place = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(seq)) - 1
-    return rows.join(offsets, [key, "_chunk"]).withColumn(name, (place + F.col("_before")).cast("long")).select(*df.columns, name)
+    return rows.join(offsets, [key, "_chunk"]).withColumn(name, (place + F.col("_before")).cast("long")).select(*df.columns, name, *offsets.columns[3:])
 
 
 def _limits(strategy: Strategy) -> tuple[int, int] | None:
@@ -121,18 +122,42 @@ def assign_windows(df: DataFrame, strategy: Strategy, eviction: str = "local") -
     return _local(df, strategy)
 
 
-def _by_count(df: DataFrame, most: int) -> DataFrame:
+def continue_windows(df: DataFrame, strategy: Strategy, state: DataFrame) -> DataFrame:
+    """Windows by their keys' records only, as ``assign_windows`` gives them, that go on from
+    ``state``: a row of partition_key, n, first_ns and window_id for each key so far, with n of 0
+    where the window was closed otherwise."""
+    limits = _limits(strategy)
+    if limits is not None and limits[1] >= 1 << 62:
+        return _by_count(df, limits[0], state)
+    return _local(df, strategy, state.withColumn("seq", F.lit(None).cast("long")))
+
+
+def _by_count(df: DataFrame, most: int, state: DataFrame | None = None) -> DataFrame:
+    def carry(parts: DataFrame) -> DataFrame:
+        """With what a key's first row meets: _n0 records in window _w0, of first time _f0."""
+        goes_on = (F.col("n") > 0) & (F.col("n") < most)
+        n, window = F.when(goes_on, F.col("n")).otherwise(0), F.when(goes_on, F.col("window_id")).otherwise(F.col("window_id") + 1)
+        met = state.select("partition_key", n.alias("_n0"), window.alias("_w0"), F.when(goes_on, F.col("first_ns")).alias("_f0"))
+        return parts.join(met, "partition_key", "left").fillna(0, ["_n0", "_w0"])
+
     if most >= 1 << 62:
         # No numbers are wanted, and a key may have all rows: they get its first time by parts.
         rows = df.withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(ROW_PARTS)))
         parts = rows.groupBy("partition_key", "_part").agg(F.min("seq").alias("_seq"), F.min_by("watermark_ns", "seq").alias("_ns"))
         first = F.min_by("_ns", "_seq").over(Window.partitionBy("partition_key"))
         parts = parts.select("partition_key", "_part", F.lit(0).cast("long").alias("window_id"), first.alias("window_first_ns"))
+        if state is not None:
+            parts = carry(parts.drop("window_id"))
+            parts = parts.select("partition_key", "_part", F.col("_w0").alias("window_id"), F.coalesce("_f0", "window_first_ns").alias("window_first_ns"))
         return rows.join(parts, ["partition_key", "_part"]).select(*df.columns, "window_id", "window_first_ns")
-    out = numbered(df, name="_number")
-    out = out.withColumn("window_id", F.floor(F.col("_number") / F.lit(most)).cast("long"))
-    first = out.groupBy("partition_key", "window_id").agg(F.min_by("watermark_ns", "seq").alias("window_first_ns"))
-    return out.drop("_number").join(first, ["partition_key", "window_id"]).select(*df.columns, "window_id", "window_first_ns")
+    out, ns = numbered(df, name="_number", carry=carry if state is not None else None), F.min_by("watermark_ns", "seq")
+    if state is None:
+        out = out.withColumn("window_id", F.floor(F.col("_number") / F.lit(most)).cast("long"))
+    else:
+        out = out.withColumn("window_id", F.col("_w0") + F.floor((F.col("_number") + F.col("_n0")) / F.lit(most)).cast("long"))
+        ns = F.coalesce(F.max(F.when(F.col("window_id") == F.col("_w0"), F.col("_f0"))), ns)
+    first = out.groupBy("partition_key", "window_id").agg(ns.alias("window_first_ns"))
+    return out.select(*df.columns, "window_id").join(first, ["partition_key", "window_id"]).select(*df.columns, "window_id", "window_first_ns")
 
 
 def _local(df: DataFrame, strategy: Strategy, marks: DataFrame | None = None) -> DataFrame:

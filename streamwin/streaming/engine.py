@@ -1,10 +1,10 @@
 """The streaming engine: records in, windows out, handlers run once a window is closed.
 
-A stream's records get their window from per-key state (count, first and last
-arriving time, window number) and go to a Parquet sink with it at once, a folder
-a batch. Nothing is held back: windows are put together from the sink, closed ones
-while the stream runs, the open rest when it is flushed. State and sink survive in
-the checkpoint; a restart with the same folder goes on where the last run stopped.
+A batch's records get their windows as a table's do, going on from their keys' state
+(count, first arriving time, window number), and go to a Parquet sink at once, a folder
+a batch; the state after each batch goes to another folder. Nothing is held back: windows are put together from the sink, closed ones
+while the stream runs, the open rest when it is flushed. State, sink and
+checkpoint are one folder; a restart with the same folder goes on where the last run stopped.
 A flush closes windows for good: each key's next record opens a new one. A purge
 takes the rows of handled windows out of the sink.
 """
@@ -13,63 +13,118 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..model import RECORD
+from ..operators.assign import assign_windows, continue_windows
 from ..operators.windows import apply_handler, window_info
 from ..plans.strategy import Strategy
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "first_ns", "last_ns", "window_id", "flushes")])
+#: A key's last window after a batch, of which there have been as many flushes.
+STATE = "partition_key string, n long, first_ns long, window_id long, flushes long"
+#: Every so many batches the state of all keys is written, between them that of keys that had records.
+WHOLE = 16
 
 PURGE = "number long, through long, kept string"
 
 
-class _Windows(StatefulProcessor):
-    """Numbers a key's windows as its records arrive. A window that was open at a
-    flush, of which there have been ``flushes``, is closed."""
+class _Folder:
+    """Files and folders of the store that a path names."""
 
-    def __init__(self, strategy: Strategy, columns: list[str], flushes: int = 0):
-        self.strategy, self.columns, self.flushes = strategy, columns, flushes
+    spark: SparkSession
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", STATE)
+    def _at(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n, first, last, window, flushes = self.state.get() if self.state.exists() else (0, 0, 0, -1, 0)
-        n = n if flushes == self.flushes else 0
-        # A batch's rows come in any order.
-        for r in sorted(rows, key=lambda r: r["seq"]):
-            now = r["watermark_ns"]
-            if n == 0 or self.strategy.closes(n, first, now):
-                n, first, window = 0, now, window + 1
-            n, last = n + 1, now
-            yield Row(**{c: r[c] for c in self.columns}, window_id=window, window_first_ns=first)
-        self.state.update((n, first, last, window, self.flushes))
+    def _exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
 
-    def close(self) -> None:
-        pass
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
+    def _delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
 
-def assign_stream(records: DataFrame, strategy: Strategy, flushes: int = 0) -> DataFrame:
-    """A stream of records with window_id and window_first_ns. Late records are
-    never dropped: they join their key's open window or open its next one."""
-    spark = records.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return records.groupBy("partition_key").transformWithState(_Windows(strategy, records.columns, flushes), _assigned_schema(records.schema), "Append", "None")
+
+class _Batches(_Folder):
+    """Writes batches with their windows, and their keys' state after each. A window
+    that was open at a flush, of which there have been ``flushes``, is closed."""
+
+    def __init__(self, spark: SparkSession, strategy: Strategy, folder: str, flushes: int = 0):
+        self.spark, self.strategy, self.flushes = spark, strategy, flushes
+        self.sink, self.states = f"{folder.rstrip('/')}/assigned", f"{folder.rstrip('/')}/states"
+
+    def finished(self) -> list[int]:
+        """Batches that have a state, less those that a later whole state made needless."""
+        numbers = sorted(int(n[6:]) for n in self._names(self.states) if n.startswith("batch-"))
+        return [n for n in numbers if self._exists(f"{self.states}/batch-{n}/_SUCCESS")]
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        finished = self.finished()
+        if finished and number <= finished[-1]:
+            return  # run again after a failure
+        if number and number - 1 not in finished:
+            raise RuntimeError(f"no state of batch {number - 1}: the folder's stream was begun by another version, or has lost files")
+        spark, folder = batch.sparkSession, f"{self.sink}/batch-{number}"
+        before = self._state(spark, finished)
+        if not self._exists(f"{folder}/_SUCCESS"):
+            # The windows need the batch more than once; it is to be computed once.
+            batch.persist(StorageLevel.DISK_ONLY)
+            try:
+                assigned = continue_windows(batch, self.strategy, before) if finished else assign_windows(batch, self.strategy)
+                assigned.write.mode("overwrite").parquet(folder)
+            finally:
+                batch.unpersist()
+        windows = spark.read.schema(_assigned_schema(batch.schema)).parquet(folder).groupBy("partition_key", "window_id").agg(F.count("*").alias("n"), F.first("window_first_ns").alias("first_ns"))
+        last = windows.groupBy("partition_key").agg(F.max(F.struct("window_id", "n", "first_ns")).alias("last"))
+        whole = number % WHOLE == 0
+        both = last.join(before, "partition_key", "outer" if whole else "left")
+        goes_on = F.col("last.window_id") == F.col("window_id")
+        n = F.coalesce(F.col("last.n") + F.when(goes_on, F.col("n")).otherwise(0), "n")
+        after = both.select("partition_key", n.alias("n"), F.coalesce("last.first_ns", "first_ns").alias("first_ns"), F.coalesce("last.window_id", "window_id").alias("window_id"), F.lit(self.flushes).cast("long").alias("flushes"))
+        after.write.mode("overwrite").parquet(f"{self.states}/batch-{number}")
+        if whole:
+            for n in finished:
+                self._delete(f"{self.states}/batch-{n}")
+
+    def _state(self, spark: SparkSession, finished: list[int]) -> DataFrame:
+        """Each key's window after the finished batches; n is 0 if it has been flushed."""
+        if not finished:
+            return spark.createDataFrame([], STATE).drop("flushes")
+        begin = finished[-1] - finished[-1] % WHOLE
+        rows = None
+        for number in finished:
+            if number >= begin:
+                one = spark.read.schema(STATE).parquet(f"{self.states}/batch-{number}").withColumn("batch", F.lit(number))
+                rows = one if rows is None else rows.unionAll(one)
+        n = F.when(F.col("flushes") == self.flushes, F.col("n")).otherwise(0).cast("long")
+        last = rows.groupBy("partition_key").agg(F.max(F.struct("batch", n.alias("n"), "first_ns", "window_id")).alias("s"))
+        return last.select("partition_key", "s.n", "s.first_ns", "s.window_id")
+
+
+def assign_stream(records: DataFrame, strategy: Strategy, folder: str, flushes: int = 0) -> DataStreamWriter:
+    """A writer of a stream's records with window_id and window_first_ns to ``folder``/assigned,
+    a folder a batch. Late records are never dropped: they join their key's open window
+    or open its next one."""
+    batches = _Batches(records.sparkSession, strategy, folder, flushes)
+    return records.writeStream.foreachBatch(batches.write).outputMode("append").option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
 
 
 def _assigned_schema(records: T.StructType) -> T.StructType:
     return T.StructType([*records, T.StructField("window_id", T.LongType()), T.StructField("window_first_ns", T.LongType())])
 
 
-class Engine:
+class Engine(_Folder):
     """Cuts a stream into windows and hands finished ones to a handler.
 
     folder: a shared folder for sink, checkpoint and the log of handled windows.
@@ -86,7 +141,8 @@ class Engine:
             raise ValueError("poll_seconds and max_windows must be greater than 0")
         self.spark, self.strategy, self.poll_seconds, self.max_windows = spark, strategy, poll_seconds, max_windows
         self.sink, self.checkpoint, self.done, self.results, self.flushed, self.purged = (f"{folder.rstrip('/')}/{x}" for x in ("assigned", "checkpoint", "handled", "results", "flushes", "purges"))
-        self.delete_handled = delete_handled
+        self.folder, self.delete_handled = folder, delete_handled
+        self._writer = _Batches(spark, strategy, folder)
         self.handler, self.handler_schema = handler, handler_schema
         self.schema = _assigned_schema(RECORD)
         self.query: StreamingQuery | None = None
@@ -96,18 +152,15 @@ class Engine:
     def ingest(self, records: DataFrame, available_now: bool = False) -> StreamingQuery:
         """Start, or go on after a stop or failure: what was taken in before isn't taken in again."""
         self.schema = _assigned_schema(records.schema)
-        writer = assign_stream(records, self.strategy, self._flushes()).writeStream.foreachBatch(self._write).outputMode("append").option("checkpointLocation", self.checkpoint)
+        self._writer = _Batches(self.spark, self.strategy, self.folder, self._flushes())
+        writer = records.writeStream.foreachBatch(self._write).outputMode("append").option("checkpointLocation", self.checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{self.poll_seconds} seconds")
         self.query = writer.start()
         return self.query
 
     def _write(self, batch: DataFrame, number: int) -> None:
-        folder = f"{self.sink}/batch-{number}"
-        if number <= self._purge_record()[1] or self._exists(f"{folder}/_SUCCESS"):
-            # A batch that is run again after a failure has the same rows; only its state is wanted.
-            batch.write.format("noop").mode("overwrite").save()
-        else:
-            batch.write.mode("overwrite").parquet(folder)
+        if number > self._purge_record()[1]:
+            self._writer.write(batch, number)
 
     def start(self, records: DataFrame) -> StreamingQuery:
         """Take records in and run the handler on closed windows, at once and then
@@ -197,7 +250,7 @@ class Engine:
         """Finished batches that no purge has taken."""
         through = self._purge_record()[1]
         numbers = sorted(int(n[6:]) for n in self._names(self.sink) if n.startswith("batch-"))
-        return [n for n in numbers if n > through and self._exists(f"{self.sink}/batch-{n}/_SUCCESS")]
+        return [n for n in numbers if through < n <= max(self._writer.finished(), default=-1)]
 
     def _folders(self) -> list[str]:
         kept = self._purge_record()[2]
@@ -237,19 +290,3 @@ class Engine:
 
     def _flushes(self) -> int:
         return self.spark.read.parquet(self.flushed).count() if self._exists(self.flushed) else 0
-
-    def _at(self, path: str) -> tuple:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._at(path)
-        return fs.exists(p)
-
-    def _names(self, path: str) -> list[str]:
-        fs, p = self._at(path)
-        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._at(path)
-        fs.delete(p, True)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamwin.operators.assign import assign_windows
-from streamwin.plans.strategy import AnyOf, Count, Time
+from streamwin.plans.strategy import AnyOf, Count, Never, Time
 from streamwin.streaming.engine import Engine
 
 SCHEMA = "seq long, id string, partition_key string, watermark_ns long, data string"
@@ -125,3 +125,34 @@ def test_handled_windows_are_deleted(spark, tmp_path):
     assert e.assigned().count() == 2
     e.stop()
     assert results(e.process()) == [*want, ("k", 2, "e,f")] and e.assigned().isEmpty() and not e._exists(f"{e.sink}/kept-dead")
+
+
+def test_no_task_holds_a_keys_records(spark, tmp_path):
+    """Windows come from sorts and joins; a state operator had each key's records of a batch in one Python process."""
+    source = str(tmp_path / "in")
+    write(spark, [(i, f"{i:03}", "same", i, "") for i in range(250)], source)
+    e = engine(spark, str(tmp_path / "out"), Count(100))
+    query = e.ingest(spark.readStream.schema(SCHEMA).json(source), available_now=True)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"] == []
+    assert sorted((r.window_id, r["count"]) for r in e.assigned().groupBy("window_id").count().collect()) == [(0, 100), (1, 100), (2, 50)]
+
+
+@pytest.mark.parametrize("strategy", [Count(3), Never(), AnyOf(Time.of(seconds=5), Count(4))])
+def test_batches_go_on_from_their_keys_state(spark, tmp_path, monkeypatch, strategy):
+    from streamwin.streaming import engine as module
+
+    monkeypatch.setattr(module, "WHOLE", 2)
+    rows = [(i, str(i), "aab"[i % 3] if i < 20 else "bc"[i % 2], (i * 7 % 23) * 1_000_000_000, "") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    e = engine(spark, str(tmp_path / "out"), strategy)
+    for number, (lo, hi) in enumerate([(0, 7), (7, 20), (20, 20), (20, 33), (33, 40)]):
+        e._write(df.where(f"seq >= {lo} and seq < {hi}"), number)
+        if number == 3:  # a batch that died before its state, and one that is run again
+            e._delete(f"{e.folder}/states/batch-3")
+            e._write(df.limit(0), 3)
+            e._write(df, 3)
+    columns = ["seq", "window_id", "window_first_ns"]
+    assert sorted(map(tuple, e.assigned().select(columns).collect())) == sorted(map(tuple, assign_windows(df, strategy).select(columns).collect()))
+    with pytest.raises(RuntimeError, match="no state of batch 5"):
+        e._write(df, 6)
